@@ -10,10 +10,6 @@ from pyspark.sql import Column, functions as F
 from fleetpulse.config import FEATURES, SENSOR_PAIRS, SENSORS
 
 
-def total(terms: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
-
 def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -46,8 +42,8 @@ def sensor_of(feature: str) -> str:
 
 def sensor_label(feature: Column) -> Column:
     """``sensor_of`` as a lookup in a literal map of the known features."""
-    pairs = [F.lit(x) for name in FEATURES for x in (name, sensor_of(name))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), feature), feature)
+    pairs = ", ".join(f"'{name}', '{sensor_of(name)}'" for name in FEATURES)
+    return F.coalesce(F.element_at(F.expr(f"map({pairs})"), feature), feature)
 
 
 # Rational approximation of the normal distribution function
@@ -76,16 +72,23 @@ PHI_SQRT_2PI = 2.506628274631
 PHI_CUTOFF = 37.0
 
 
-def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+def normal_cdf_sql(z: str) -> str:
+    """SQL of the standard normal distribution function of column ``z``.
+
+    No built-in exists. The argument is named many times, so give it a column.
+    """
+    a = f"abs({z})"
+
+    def polynomial(coefficients: tuple[float, ...]) -> str:
+        return reduce(lambda acc, c: f"({acc} * {a} + {c!r}D)", coefficients[1:], f"{coefficients[0]!r}D")
+
+    bell = f"exp(-{a} * {a} / 2.0D)"
+    near = f"{bell} * {polynomial(PHI_NUMERATOR)} / {polynomial(PHI_DENOMINATOR)}"
+    fraction = reduce(lambda acc, k: f"({a} + {k}D / {acc})", (4.0, 3.0, 2.0, 1.0), f"({a} + 0.65D)")
+    far = f"{bell} / {fraction} / {PHI_SQRT_2PI}D"
+    lower = f"(CASE WHEN {a} > {PHI_CUTOFF}D THEN 0.0D WHEN {a} < {PHI_SPLIT}D THEN {near} ELSE {far} END)"
+    return f"CASE WHEN {z} > 0 THEN 1.0D - {lower} ELSE {lower} END"
 
 
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function; no such built-in exists."""
-    a = F.abs(z)
-    bell = F.exp(-a * a / 2)
-    near = bell * _horner(a, PHI_NUMERATOR) / _horner(a, PHI_DENOMINATOR)
-    fraction = reduce(lambda acc, k: a + F.lit(k) / acc, (4.0, 3.0, 2.0, 1.0), a + F.lit(0.65))
-    far = bell / fraction / F.lit(PHI_SQRT_2PI)
-    lower = F.when(a > PHI_CUTOFF, F.lit(0.0)).when(a < PHI_SPLIT, near).otherwise(far)
-    return F.when(z > 0, 1 - lower).otherwise(lower)
+def normal_cdf(z: str) -> Column:
+    return F.expr(normal_cdf_sql(z))

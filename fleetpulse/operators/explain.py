@@ -10,32 +10,25 @@ from fleetpulse.config import DEFAULT, FEATURES, EngineConfig
 from fleetpulse.functions.columns import sensor_of
 
 
-def z_scores(features: Sequence[str] = FEATURES) -> Column:
-    """Array of z in feature order against feat_mean / feat_std; missing is 0."""
-    return F.array(*[z_score(f) for f in features])
+def z_score(feature: str) -> str:
+    """SQL of one feature's z against feat_mean / feat_std; missing is 0."""
+    return f"coalesce(try_divide({feature} - feat_mean['{feature}'], feat_std['{feature}']), 0.0D)"
 
 
-def z_score(feature: str) -> Column:
-    away = F.col(feature) - F.col("feat_mean")[feature]
-    return F.coalesce(F.try_divide(away, F.col("feat_std")[feature]), F.lit(0.0))
+def z_scores(features: Sequence[str] = FEATURES) -> Column:
+    """Array of z in feature order."""
+    return F.expr(f"array({', '.join(z_score(f) for f in features)})")
 
 
 def top_contributors(features: Sequence[str] = FEATURES, cfg: EngineConfig = DEFAULT) -> Column:
     """The ``top_k`` features by |z|; equal values keep feature order."""
-    ranked = F.array(
-        *[
-            F.struct(
-                (-F.abs(z_score(f))).alias("rank"),
-                F.lit(i).alias("position"),
-                F.lit(f).alias("feature"),
-                z_score(f).alias("z"),
-                F.lit(sensor_of(f)).alias("sensor"),
-            )
-            for i, f in enumerate(features)
-        ]
-    )
-    best = F.slice(F.array_sort(ranked), 1, cfg.top_k)
-    return F.transform(best, lambda e: F.struct(e["feature"].alias("feature"), e["z"].alias("z"), e["sensor"].alias("sensor")))
+    entries = [
+        f"named_struct('rank', -abs({z_score(f)}), 'position', {i}, "
+        f"'feature', '{f}', 'z', {z_score(f)}, 'sensor', '{sensor_of(f)}')"
+        for i, f in enumerate(features)
+    ]
+    best = f"slice(array_sort(array({', '.join(entries)})), 1, {cfg.top_k})"
+    return F.expr(f"transform({best}, e -> named_struct('feature', e.feature, 'z', e.z, 'sensor', e.sensor))")
 
 
 def contributors_when_alerting(features: Sequence[str] = FEATURES, cfg: EngineConfig = DEFAULT) -> Column:

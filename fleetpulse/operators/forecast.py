@@ -57,34 +57,30 @@ def fit_trend(
     d = d.withColumn("past", F.lag("tail", size - 1).over(ordered))
 
     # tail of the previous chunk, moved to the origin of this chunk's head
-    whole_chunk = F.col("head_n") >= size
-    use = F.col("past").isNotNull() & ~whole_chunk
-    p = {k: F.col(f"past.{k}") for k in PARTS}
-    sx, sy = F.col("past.x0") - F.col("head_x0"), F.col("past.y0") - F.col("head_y0")
+    sx, sy = "(past.x0 - head_x0)", "(past.y0 - head_y0)"
     moved = {
-        "n": p["n"],
-        "x": p["x"] + p["n"] * sx,
-        "y": p["y"] + p["n"] * sy,
-        "xx": p["xx"] + 2 * sx * p["x"] + p["n"] * sx * sx,
-        "xy": p["xy"] + sx * p["y"] + sy * p["x"] + p["n"] * sx * sy,
-        "yy": p["yy"] + 2 * sy * p["y"] + p["n"] * sy * sy,
+        "n": "past.n",
+        "x": f"past.x + past.n * {sx}",
+        "y": f"past.y + past.n * {sy}",
+        "xx": f"past.xx + 2 * {sx} * past.x + past.n * {sx} * {sx}",
+        "xy": f"past.xy + {sx} * past.y + {sy} * past.x + past.n * {sx} * {sy}",
+        "yy": f"past.yy + 2 * {sy} * past.y + past.n * {sy} * {sy}",
     }
-    d = d.select(
+    from_past = f"past IS NOT NULL AND head_n < {size}"
+    d = d.selectExpr(
         *base,
-        F.col("head_x0").cast("double").alias("x0"),
-        F.col("head_y0").alias("y0"),
-        *[(F.col(f"head_{k}") + F.when(use, moved[k]).otherwise(F.lit(0.0))).alias(f"s_{k}") for k in PARTS],
+        "double(head_x0) AS x0",
+        "head_y0 AS y0",
+        *[f"head_{k} + CASE WHEN {from_past} THEN {moved[k]} ELSE 0.0D END AS s_{k}" for k in PARTS],
     )
-
-    n = F.col("s_n")
-    d = d.select(
+    d = d.selectExpr(
         *base,
-        n.cast("long").alias("n_fit"),
-        (F.col("x0") + F.col("s_x") / n).alias("x_mean"),
-        (F.col("y0") + F.col("s_y") / n).alias("y_mean"),
-        (F.col("s_xx") - F.col("s_x") * F.col("s_x") / n).alias("sxx"),
-        (F.col("s_xy") - F.col("s_x") * F.col("s_y") / n).alias("sxy"),
-        (F.col("s_yy") - F.col("s_y") * F.col("s_y") / n).alias("syy"),
+        "bigint(s_n) AS n_fit",
+        "x0 + s_x / s_n AS x_mean",
+        "y0 + s_y / s_n AS y_mean",
+        "s_xx - s_x * s_x / s_n AS sxx",
+        "s_xy - s_x * s_y / s_n AS sxy",
+        "s_yy - s_y * s_y / s_n AS syy",
     )
     fitted = F.col("n_fit") >= cfg.min_points
     d = d.withColumn("slope", F.when(fitted, F.try_divide("sxy", "sxx")))
@@ -118,20 +114,14 @@ def remaining_days(level: Column, slope: Column, cfg: EngineConfig = DEFAULT) ->
 def crossing_score(level: Column, slope: Column, residual: Column, days: float, cfg: EngineConfig = DEFAULT) -> Column:
     """Standardised distance of the expected level below the failed threshold.
 
-    Random walk with drift: uncertainty grows with the square root of time.
+    Random walk with drift: uncertainty grows with the square root of time. The
+    normal distribution function of it is the failure probability.
     """
     minutes = days * MINUTES_PER_DAY
     expected = level + slope * minutes
     return F.try_divide(F.lit(cfg.health_failed) - expected, residual * max(minutes, 1.0) ** 0.5)
 
 
-def failure_probability(
-    level: Column, slope: Column, residual: Column, days: float, cfg: EngineConfig = DEFAULT
-) -> Column:
-    """P(level at or below the failed threshold ``days`` from now)."""
-    return normal_cdf(crossing_score(level, slope, residual, days, cfg))
-
-
 def horizon_column(days: float) -> str:
     """Column name of one horizon; no dots, which Spark reads as nesting."""
     return "fail_prob_" + f"{days:g}".replace(".", "_") + "d"
@@ -157,6 +147,5 @@ def add_forecast(df: DataFrame, index: str = "output", cfg: EngineConfig = DEFAU
             for h, name in zip(cfg.horizons, names)
         ],
     )
-    for name in names:
-        d = d.withColumn(name, rounded(normal_cdf(F.col(f"z_{name}")), 4))
-    return d.drop(*[f"z_{name}" for name in names])
+    risks = [rounded(normal_cdf(f"z_{name}"), 4).alias(name) for name in names]
+    return d.select("*", *risks).drop(*[f"z_{name}" for name in names])

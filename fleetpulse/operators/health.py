@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from fleetpulse.config import DEFAULT, FEATURES, EngineConfig
 from fleetpulse.functions.columns import clip
@@ -46,7 +46,7 @@ def calibrate(scored: DataFrame, by_asset: bool = False, features: Sequence[str]
 
 
 def pick_calibration(
-    df: DataFrame, pooled: DataFrame, local: DataFrame | None, mode: str = "auto"
+    df: DataFrame, pooled: DataFrame | Row, local: DataFrame | None, mode: str = "auto"
 ) -> DataFrame:
     """Add baseline_mean, baseline_std, feat_mean, feat_std, calibration_source.
 
@@ -58,14 +58,14 @@ def pick_calibration(
     if mode not in ("auto", "local", "pooled"):
         raise ValueError(f"unknown calibration mode {mode!r}")
     values = ["baseline_mean", "baseline_std", "feat_mean", "feat_std"]
-    row = pooled.select(*values).first()
+    row = pooled.select(*values).first() if isinstance(pooled, DataFrame) else pooled
     if row is None:
         raise ValueError("no pooled calibration")
     default = {
-        "baseline_mean": F.lit(row[0]).cast("double"),
-        "baseline_std": F.lit(row[1]).cast("double"),
-        "feat_mean": _literal_map(row[2]),
-        "feat_std": _literal_map(row[3]),
+        "baseline_mean": F.lit(row["baseline_mean"]).cast("double"),
+        "baseline_std": F.lit(row["baseline_std"]).cast("double"),
+        "feat_mean": _literal_map(row["feat_mean"]),
+        "feat_std": _literal_map(row["feat_std"]),
     }
     if mode == "pooled" or (local is None and mode == "auto"):
         source = "pooled (forced)" if mode == "pooled" else "pooled (no local)"
@@ -88,9 +88,10 @@ def pick_calibration(
 
 
 def _literal_map(values: dict[str, float] | None) -> Column:
-    values = values or {}
-    pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("double"))]
-    return F.create_map(*pairs).cast("map<string,double>") if pairs else F.lit(None).cast("map<string,double>")
+    if not values:
+        return F.lit(None).cast("map<string,double>")
+    pairs = ", ".join(f"'{k}', double('{v!r}')" if v is not None else f"'{k}', double(NULL)" for k, v in values.items())
+    return F.expr(f"map({pairs})")
 
 
 def health_from_score(score: Column, mean: Column, std: Column, cfg: EngineConfig = DEFAULT) -> Column:

@@ -128,10 +128,18 @@ def carry_events(df: DataFrame, block: str = "block") -> DataFrame:
     )
 
 
+def held_level() -> Column:
+    """Reported trend level from the event positions of ``EVENTS``."""
+    return (F.col("raise1") > F.col("below1")).cast("int") + (F.col("raise2") > F.col("below2")).cast("int")
+
+
 def report_levels(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Replace the event columns by maintenance_level, _reason and _trigger."""
-    held = (F.col("raise1") > F.col("below1")).cast("int") + (F.col("raise2") > F.col("below2")).cast("int")
-    d = df.withColumn("held", held)
+    """Add maintenance_level, _reason and _trigger from held, streak, by_health.
+
+    ``held`` (the reported trend level) is derived from the event columns where
+    the input has those; a stream brings it along instead.
+    """
+    d = df.withColumn("held", held_level()) if EVENTS[0] in df.columns else df
     raw, held, streak = F.col("raw_level"), F.col("held"), F.col("streak")
     instant, agrees = F.col("by_health"), held == raw
     escalating = raw > held

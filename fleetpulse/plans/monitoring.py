@@ -26,7 +26,7 @@ def score(features: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calibr
     """Add score, health_raw (unrounded) and calibration_source to feature rows."""
     features = check_feature_hash(features, model.feature_hash)
     scored = scorer(features) if scorer else score_rows(features, model.nodes, model.features)
-    picked = pick_calibration(scored, model.pooled, model.local, calibration)
+    picked = pick_calibration(scored, model.pooled_row, model.local, calibration)
     health = health_from_score(F.col("score"), F.col("baseline_mean"), F.col("baseline_std"), cfg)
     return picked.select(*scored.columns, health.alias("health_raw"), "calibration_source")
 
@@ -84,7 +84,7 @@ def present(decided: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calib
 
     Feature baselines are only needed for alerting rows, so they join last.
     """
-    d = pick_calibration(decided.drop("calibration_source"), model.pooled, model.local, calibration)
+    d = pick_calibration(decided.drop("calibration_source"), model.pooled_row, model.local, calibration)
     risks = [x for h in cfg.horizons for x in (F.lit(float(h)), F.col(horizon_column(h)))]
     return d.select(
         ASSET,

@@ -74,6 +74,10 @@ def ship(spark: SparkSession) -> SparkSession:
         target = Path(tempfile.mkdtemp(prefix="spark-")) / package.name
         archive = shutil.make_archive(str(target), "zip", root_dir=package.parent, base_dir=package.name)
         sc.addPyFile(archive)
+        # The helper that plans stateful streaming runs beside the driver and
+        # does not unpack added files; it reads this path instead.
+        paths = [str(package.parent), sc.environment.get("PYTHONPATH", "")]
+        sc.environment["PYTHONPATH"] = ":".join(p for p in paths if p)
         _SHIPPED["app"] = sc.applicationId
     return spark
 

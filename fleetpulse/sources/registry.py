@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import cached_property
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from fleetpulse.config import DEFAULT, FEATURES, EngineConfig
 from fleetpulse.operators.forest import NODE_SCHEMA
@@ -33,6 +34,14 @@ class Model:
     reference: DataFrame | None = None
     trained_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc).replace(tzinfo=None))
 
+    @cached_property
+    def pooled_row(self) -> Row:
+        """The one row of the pooled calibration."""
+        row = self.pooled.first()
+        if row is None:
+            raise ValueError(f"model {self.model_id!r} has no pooled calibration")
+        return row
+
 
 class DriftError(ValueError):
     """The model was trained with another feature definition."""
