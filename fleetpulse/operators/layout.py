@@ -83,7 +83,8 @@ def number_slices(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     per_slice = df.groupBy(ASSET, "slice").agg(F.count("*").alias("n"))
     offsets = running_offsets(per_slice, "slice", "n", "before")
     within = F.row_number().over(W.partitionBy(ASSET, "slice").orderBy(*order))
-    return df.join(offsets, [ASSET, "slice"]).withColumn(name, F.col("before") + within).drop("before", "slice")
+    numbered = df.join(offsets, [ASSET, "slice"]).withColumn(name, (F.col("before") + within).cast("long"))
+    return numbered.drop("before", "slice")
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -91,6 +92,15 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     return df.withColumn(name, within.cast("long"))
 
 
+def index_rows(df: DataFrame, order: Sequence[Column], name: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Number the rows of each asset 1..n, whatever the asset's size."""
+    split = split_by_heat(df, cfg)
+    cold = number_rows(split.cold, [ASSET], order, name)
+    if split.hot is None:
+        return cold
+    return cold.unionByName(number_slices(sliced(split.hot, order, split.hot_slices, "index"), order, name))
+
+
 def with_halo(df: DataFrame, index: str, halo: int, block_rows: int) -> DataFrame:
     """Give each block the ``halo`` rows before it; they carry ``is_halo``."""
     own = F.floor((F.col(index) - 1) / F.lit(block_rows)).cast("long")

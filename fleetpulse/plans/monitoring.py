@@ -57,7 +57,7 @@ def _hot(features: DataFrame, add_score: Scorer, cfg: EngineConfig) -> DataFrame
     return policy.report_levels(policy.carry_events(decided, BLOCK), cfg).drop(BLOCK)
 
 
-def monitor_batch(
+def decisions(
     readings: DataFrame,
     model: Model,
     cfg: EngineConfig = DEFAULT,
@@ -65,18 +65,41 @@ def monitor_batch(
     calibration: str = "auto",
     scorer: Scorer | None = None,
 ) -> DataFrame:
-    """Predictions for every reading after warm-up, one row per output.
+    """Every output with all intermediate values, unrounded where they were.
 
     ``scorer`` replaces the forest by any function adding a ``score`` column.
     """
+
     def add_score(features: DataFrame) -> DataFrame:
         return score(features, model, cfg, calibration, scorer)
 
     cold, hot, _ = feature_parts(readings, cfg, clean)
     decided = _cold(cold, add_score, cfg)
-    if hot is not None:
-        decided = decided.unionByName(_hot(hot, add_score, cfg))
-    return present(decided, model, cfg, calibration)
+    return decided if hot is None else decided.unionByName(_hot(hot, add_score, cfg))
+
+
+def monitor_batch(
+    readings: DataFrame,
+    model: Model,
+    cfg: EngineConfig = DEFAULT,
+    clean: bool = True,
+    calibration: str = "auto",
+    scorer: Scorer | None = None,
+) -> DataFrame:
+    """Predictions for every reading after warm-up, one row per output."""
+    return present(decisions(readings, model, cfg, clean, calibration, scorer), model, cfg, calibration)
+
+
+def debounce_levels(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Hysteresis for rows that already have ``output`` and raw levels."""
+    split = layout.split_by_heat(df, cfg)
+    cold = policy.debounce(split.cold, [ASSET], "output", cfg)
+    if split.hot is None:
+        return cold
+    d = spread(layout.with_halo(split.hot, "output", cfg.clear_ticks, cfg.block_rows), ASSET, BLOCK)
+    d = materialize(layout.drop_halo(policy.streaks(d, [ASSET, BLOCK], "output", cfg)), "streaks")
+    hot = policy.report_levels(policy.carry_events(d, BLOCK), cfg)
+    return cold.unionByName(hot.drop(BLOCK))
 
 
 def present(decided: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calibration: str = "auto") -> DataFrame:
