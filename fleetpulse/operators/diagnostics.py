@@ -16,7 +16,7 @@ from fleetpulse.operators.forest import PackedForest, check_finite
 
 REPEATS = 20
 REDUNDANT_ABOVE = 0.95
-GROUP_ROWS = 1024
+GROUP_ROWS = 256
 
 
 def reference_features(features: DataFrame, reference: DataFrame | None) -> DataFrame:
@@ -55,12 +55,12 @@ def permutation_importance(
         check_finite(x, names)
         base = forest.value.score(x)
         changes = np.zeros(len(names))
+        variants, before = np.tile(x, (repeats, 1)), np.tile(base, repeats)
         for j in range(len(names)):
             rng = np.random.default_rng([seed, int(key[0]), j])
-            variant = x.copy()
-            for _ in range(repeats):
-                variant[:, j] = rng.permutation(x[:, j])
-                changes[j] += np.abs(forest.value.score(variant) - base).sum()
+            variants[:, j] = np.concatenate([rng.permutation(x[:, j]) for _ in range(repeats)])
+            changes[j] = np.abs(forest.value.score(variants) - before).sum()
+            variants[:, j] = np.tile(x[:, j], repeats)
         return pd.DataFrame({"feature": names, "change": changes, "n": len(x) * repeats})
 
     identity = [F.col("asset_id"), F.col("ts")]

@@ -9,6 +9,8 @@ and broadcast.  Scoring is one Arrow-batched UDF over the feature columns.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Sequence
 from math import ceil, log2
 
@@ -146,6 +148,16 @@ class PackedForest:
                 todo.append((left[node], 2 * slot + 1, depth + 1))
                 todo.append((right[node], 2 * slot + 2, depth + 1))
 
+    def __getstate__(self) -> bytes:
+        """Compressed: most padding repeats, so a forest ships in a fraction of
+        a megabyte. Code sent to stateful streaming must stay below one."""
+        arrays = (self.depth, self.sample, self.feature.astype(np.int16), self.threshold, self.value)
+        return zlib.compress(pickle.dumps(arrays, protocol=5))
+
+    def __setstate__(self, state: bytes) -> None:
+        self.depth, self.sample, feature, self.threshold, self.value = pickle.loads(zlib.decompress(state))
+        self.feature = feature.astype(np.intp)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """-2^(-mean path / expected path): near -1 anomalous, near 0 normal."""
         out = np.empty(len(x))

@@ -183,14 +183,6 @@ class MonitorProcessor(StatefulProcessor):
         return out
 
 
-class ForestScorer:
-    def __init__(self, forest):
-        self.forest = forest
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return self.forest.value.score(x)
-
-
 def monitor_stream(
     readings: DataFrame,
     model: Model,
@@ -205,13 +197,14 @@ def monitor_stream(
     Needs the RocksDB state store provider (see ``state_store``). ``scorer``
     replaces the forest by any function on a feature array.
     """
-    spark = readings.sparkSession
     values = [nan_to_null(F.col(c)).alias(c) for c in SENSORS]
     prepared = readings.select("asset_id", "ts", *values).filter(F.col("ts").isNotNull() & F.col("asset_id").isNotNull())
     anchored = pick_calibration(prepared, model.pooled_row, model.local, calibration)
     anchored = anchored.select("asset_id", "ts", *PENDING_COLUMNS).withWatermark("ts", delay)
     if scorer is None:
-        scorer = ForestScorer(spark.sparkContext.broadcast(PackedForest(model.nodes)))
+        # About a megabyte whatever the fleet; the worker that plans stateful
+        # queries cannot read broadcast variables, so it travels with the code.
+        scorer = PackedForest(model.nodes).score
     return anchored.groupBy("asset_id").transformWithStateInPandas(
         MonitorProcessor(scorer, cfg, clean), OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
