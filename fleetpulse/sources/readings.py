@@ -94,9 +94,17 @@ def readings_from_events(spark: SparkSession, sf_dir: str, labelled: bool = Fals
     )
 
 
-def write_cleaned(df: DataFrame, path: str) -> None:
-    """Cleaned readings, one directory per asset."""
-    df.write.mode("overwrite").partitionBy("asset_id").parquet(path)
+def write_cleaned(df: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Cleaned readings, one directory per asset.
+
+    A fleet with very many assets gives ``buckets``: directories then hold
+    assets by hash, so their number does not grow with the fleet.
+    """
+    if buckets is None:
+        df.write.mode("overwrite").partitionBy("asset_id").parquet(path)
+        return
+    bucket = F.pmod(F.xxhash64("asset_id"), F.lit(buckets)).cast("int")
+    df.withColumn("asset_bucket", bucket).write.mode("overwrite").partitionBy("asset_bucket").parquet(path)
 
 
 def write_features(df: DataFrame, path: str, cfg: EngineConfig = DEFAULT) -> None:

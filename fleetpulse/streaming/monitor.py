@@ -200,7 +200,10 @@ def monitor_stream(
     values = [nan_to_null(F.col(c)).alias(c) for c in SENSORS]
     prepared = readings.select("asset_id", "ts", *values).filter(F.col("ts").isNotNull() & F.col("asset_id").isNotNull())
     anchored = pick_calibration(prepared, model.pooled_row, model.local, calibration)
-    anchored = anchored.select("asset_id", "ts", *PENDING_COLUMNS).withWatermark("ts", delay)
+    # The operator gets a plain copy of the time: on the watermarked column
+    # itself Spark drops late rows silently, and they are to be reported.
+    anchored = anchored.withColumn("event_time", F.col("ts")).withWatermark("event_time", delay)
+    anchored = anchored.select("asset_id", "ts", *PENDING_COLUMNS)
     if scorer is None:
         # About a megabyte whatever the fleet; the worker that plans stateful
         # queries cannot read broadcast variables, so it travels with the code.
