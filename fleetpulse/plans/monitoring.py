@@ -143,3 +143,10 @@ def flatten_predictions(predictions: DataFrame, cfg: EngineConfig = DEFAULT) ->
         *[F.col("failure_probability")[F.lit(float(h))].alias(horizon_column(h)) for h in cfg.horizons],
         explain.joined_contributors(F.col("top_contributors")).alias("top_contributors"),
     )
+
+
+def write_predictions(flat: DataFrame, output: str, run_id: str) -> str:
+    """Prediction log of one run: a repeated run replaces its own rows only."""
+    path = f"{output}/run_id={run_id}"
+    flat.withColumn("processed_at", F.current_timestamp()).write.mode("overwrite").parquet(path)
+    return path

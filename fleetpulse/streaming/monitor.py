@@ -23,7 +23,7 @@ from fleetpulse.functions.columns import nan_to_null
 from fleetpulse.operators import policy
 from fleetpulse.operators.clean import MIN_CURRENT, MIN_VIBRATION, TEMPERATURE_ABOVE, TEMPERATURE_BELOW
 from fleetpulse.operators.forecast import add_forecast
-from fleetpulse.operators.forest import PackedForest, check_finite
+from fleetpulse.operators.forest import PackedForest
 from fleetpulse.operators.health import pick_calibration
 from fleetpulse.plans.monitoring import flatten_predictions, present
 from fleetpulse.sources.registry import Model
@@ -123,11 +123,11 @@ class MonitorProcessor(StatefulProcessor):
         if len(readings) < n:
             return []
         features, usable = kernel.rolling_features(readings, n)
+        usable &= np.isfinite(features).all(axis=1)  # never scored, never fatal to the stream
         rows = np.arange(len(ts))[-len(features) :][usable]
         features = features[usable]
         if not len(rows):
             return []
-        check_finite(features, FEATURES)
         score = self.scorer(features)
         mean, std = values[rows, 3], values[rows, 4]
         health = 100.0 * (1.0 - np.clip((mean - score) / (cfg.health_spread * std), 0.0, 1.0))

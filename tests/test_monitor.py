@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetpulse.config import DEFAULT
 from fleetpulse.operators import layout
 from fleetpulse.plans import evaluation
-from fleetpulse.plans.monitoring import decisions, flatten_predictions, monitor_batch
+from fleetpulse.plans.monitoring import decisions, flatten_predictions, monitor_batch, write_predictions
 from helpers import readings, stand_in
 
 # Short memories, so that small fixtures reach every stage and cross blocks.
@@ -45,6 +45,15 @@ def test_blocks_equal_whole_assets(spark):
     assert all((r["top_contributors"] == "") == (r["maintenance_level"] == "OK") for r in a)
 
 
+def test_prediction_log(spark, tmp_path):
+    flat = flatten_predictions(monitor_batch(fleet(spark, 200), stand_in(spark), QUICK, scorer=scorer), QUICK)
+    for run in ("one", "two", "two"):
+        write_predictions(flat, str(tmp_path), run)
+    log = spark.read.parquet(str(tmp_path))
+    assert {r["run_id"]: r["count"] for r in log.groupBy("run_id").count().collect()} == {"one": flat.count(), "two": flat.count()}
+    assert log.filter("processed_at IS NULL OR ts IS NULL").isEmpty()
+
+
 def test_warm_up_and_ticks(spark):
     rows = decisions(fleet(spark), stand_in(spark), QUICK, scorer=scorer).filter("asset_id = 'big'").orderBy("output").collect()
     assert rows[0]["tick"] == 24 and rows[0]["output"] == 1
