@@ -44,8 +44,7 @@ def compare(spark, con, name: str, sf_dir: str) -> tuple[bool, str]:
     bad = [(x, y) for x, y in zip(a[1], b[1]) if x != y]
     if len(a[1]) != len(b[1]) or bad:
         return False, f"{note}; {len(b[1])} in sql, {len(bad)} differ, first {bad[:1]}"
-    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema]
-    return True, f"{note}; {len(kinds)} columns"
+    return True, f"{note}; {len(columns)} columns"
 
 
 if __name__ == "__main__":
