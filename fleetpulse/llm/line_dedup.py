@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetpulse.llm.common import table, text_key
+from fleetpulse.llm.common import DOCUMENT_COLUMNS, table, text_key
 
 WINDOW = 3
 
@@ -80,6 +80,13 @@ def cut_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     )
 
 
+def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without its repeated lines; n_chars follows a text that was cut."""
+    cut = cut_lines(docs.select(*DOCUMENT_COLUMNS))
+    size = F.when(F.col("line_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", size).select(*DOCUMENT_COLUMNS)
+
+
 def op10_line_windows(spark, sf_dir: str) -> DataFrame:
     cut = cut_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select(

@@ -164,10 +164,9 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Counts are written beside the documents once, since the cutoffs need all of
     them before the first verdict; no text is shuffled.
     """
-    columns = docs.columns
     counted = materialize(with_stats(docs.select(*DOCUMENT_COLUMNS)), "quality")
     cutoffs = choose_cutoffs(counted.select("doc_id", "lang", *STATS, "base_failed"), table(spark, sf_dir, "labels"))
-    return judge(counted, cutoffs).filter("kept").select(*[c for c in columns if c in DOCUMENT_COLUMNS])
+    return judge(counted, cutoffs).filter("kept").select(*DOCUMENT_COLUMNS)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

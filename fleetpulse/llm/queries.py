@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import line_dedup, mixing, quality, url_rules, warc
-from fleetpulse.session import ship
+from fleetpulse.llm import ann, line_dedup, mixing, packing, quality, simhash, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": warc.op1_warc_revisits,
     "op2_mixing": mixing.op2_mixing,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_simhash_groups": simhash.op4_simhash_groups,
+    "op5_packing": packing.op5_packing,
+    "op6_learned_partitions": ann.op6_learned_partitions,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_line_windows": line_dedup.op10_line_windows,
