@@ -139,10 +139,9 @@ def choose_cutoffs(stats: DataFrame, labels: DataFrame, risk: Risk = Risk(), str
     counted = holdout.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *over)
     rows = F.array(*[F.struct(F.lit(r).alias("rate"), F.lit(c).alias("cutoff"), F.col(f"t{i}").alias("k")) for i, (r, c) in enumerate(tries)])
     flat = counted.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    tests = flat.agg(F.count("*").alias("tests"))
-    limit = risk.limit / len(CUTOFFS)
-    # One row with the number of tests; a join on a constant, not a product of tables.
-    tested = flat.withColumn("one", F.lit(1)).join(tests.withColumn("one", F.lit(1)), "one").withColumn("p", binomial_tail("n", "k", limit))
+    # As many rows as strata times cutoffs, listed in one to count the tests.
+    listed = flat.agg(F.collect_list(F.struct(*flat.columns)).alias("all")).select(F.explode("all").alias("t"), F.size("all").alias("tests"))
+    tested = listed.select("t.*", "tests").withColumn("p", binomial_tail("n", "k", risk.limit / len(CUTOFFS)))
     return tested.filter(F.col("p") <= risk.level / F.col("tests")).groupBy("stratum", "rate").agg(F.min("cutoff").alias("cutoff"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import ann, line_dedup, mixing, packing, quality, simhash, toxicity, url_rules, warc
+from fleetpulse.llm import ann, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_groups": simhash.op4_simhash_groups,
     "op5_packing": packing.op5_packing,
     "op6_learned_partitions": ann.op6_learned_partitions,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_line_windows": line_dedup.op10_line_windows,
