@@ -8,8 +8,8 @@ sorted, and where, is chosen so that every sort is bounded:
 * A window is ``length`` bytes.  The 20-byte gram of least hash in it is its
   anchor, so equal windows have equal anchors.  Consecutive windows with one
   anchor make a context of at most ``2 * length - gram`` bytes.
-* Only anchors found in two documents or more can matter; one combining
-  aggregate over (hash, document) finds them.
+* Only anchors found in two documents or more can matter.  Batches pack their
+  hashes by bucket, combined first, and each bucket is compared in one sort.
 * Contexts that are equal byte for byte are one row with their smallest id, so
   copies cost one row per task, however many there are.
 * The distinct contexts are dealt by anchor; an anchor with more than ``HOT`` of
@@ -39,9 +39,11 @@ from fleetpulse.session import materialize, ship
 LENGTH = 50
 GRAM = 20
 HOT = 20_000
-CHUNK_BYTES = 6 << 20
+ANCHORS = 500_000
+CHUNK_BYTES = 2 << 20
 TASK_CONTEXTS = 100_000
 LEAST_ID = -(1 << 63)
+NULL_ID = LEAST_ID + 1
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -95,23 +97,89 @@ def encoded(texts: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
-def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, key, h): distinct anchors of each document of (doc, key, text)."""
+def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(bucket, n, packed) of the anchors of (doc, text), packed by bucket for the shuffle.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            owner, _, _, h = contexts_of(encoded(batch.column("text")), length)
-            order = np.lexsort((h, owner))
-            owner, h = owner[order], h[order]
-            new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
-            taken = batch.select(["doc", "key"]).take(pa.array(owner[new]))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(h[new])], names=["doc", "key", "h"])
+    An anchor that two documents of one batch have is known to be shared, so the
+    batch sends its documents as rows of their own (bucket -1) and only the hash
+    onwards.  A hash in a third of all documents thus costs one entry per batch.
+    """
 
-    return docs.mapInArrow(rows, "doc long, key long, h long")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2048):
+            ids = batch.column("doc").to_numpy()
+            owners, hashes = [], []
+            texts = batch.column("text")
+            for i in range(0, len(ids), 512):
+                owner, _, _, h = contexts_of(encoded(texts.slice(i, 512)), length)
+                owners.append(ids[owner + i])
+                hashes.append(h)
+            doc, h = np.concatenate(owners), np.concatenate(hashes)
+            order = np.lexsort((doc, h))
+            doc, h = doc[order], h[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+            doc, h = doc[new], h[new]
+            opens = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            many = np.diff(np.append(opens, len(h))) > 1
+            known = np.repeat(many, np.diff(np.append(opens, len(h))))
+            out = [(-1, int(known.sum()), packed(h[known], doc[known]))] if known.any() else []
+            h, doc = h[opens], np.where(many, LEAST_ID, doc[opens])
+            deal = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(deal, kind="stable")
+            cuts = np.searchsorted(deal[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[k] : cuts[k + 1]]
+                out.append((int(k), len(at), packed(h[at], doc[at])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["bucket", "n", "packed"])
+
+    return docs.mapInArrow(rows, "bucket long, n long, packed binary")
+
+
+def packed(h: np.ndarray, doc: np.ndarray) -> bytes:
+    """Hashes, then ids with their high halves apart, which compress well."""
+    halves = doc.view(np.uint64)
+    return h.tobytes() + halves.astype(np.uint32).tobytes() + (halves >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.frombuffer(data, np.uint32, n, 8 * n), np.frombuffer(data, np.uint32, n, 12 * n)
+    return np.frombuffer(data, np.int64, n), (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)).view(np.int64)
+
+
+def shared_anchors(found: DataFrame, buckets: int) -> DataFrame:
+    """(doc, h) of the anchors that two documents or more have.
+
+    A bucket holds about ANCHORS entries, whatever the input's size.
+    """
+
+    def told(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h)], names=["doc", "h"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("packed").to_pylist()):
+                yield told(*unpacked(data, n))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in key_runs(batches, "bucket"):
+            parts = [unpacked(d, n) for n, d in zip(run.column("n").to_pylist(), run.column("packed").to_pylist())]
+            h, doc = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            opens = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            sizes = np.diff(np.append(opens, len(h)))
+            # LEAST_ID sorts first and stands for documents that have been told of already.
+            shared = np.repeat((doc[opens] != doc[opens + sizes - 1]), sizes) & (doc != LEAST_ID)
+            yield told(h[shared], doc[shared])
+
+    near = found.filter("bucket < 0").mapInArrow(known, "doc long, h long")
+    far = found.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(asked, "doc long, h long")
+    return near.unionByName(far)
 
 
 def shared_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(doc, key, h, start, windows, bytes) of contexts whose anchor is in ``wanted`` (key, hs)."""
+    """(doc, key, h, start, windows, bytes) of contexts whose anchor is in ``wanted`` (doc, hs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
@@ -131,7 +199,7 @@ def shared_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
                 names=["doc", "key", "h", "start", "windows", "bytes"],
             )
 
-    joined = docs.join(wanted, "key").select("doc", "key", "text", "hs")
+    joined = docs.join(wanted, "doc").select("doc", "key", "text", "hs")
     return joined.mapInArrow(rows, "doc long, key long, h long, start long, windows long, bytes binary")
 
 
@@ -214,22 +282,23 @@ def cut_texts(docs: DataFrame, length: int) -> DataFrame:
 
 def release(spark) -> None:
     """Let Spark drop the shuffle files of finished parts; they would pile up on disk beside the written tables."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept bytes) for every row."""
     spark = ship(docs.sparkSession)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    found = anchors(named.select("doc", "key", "text"), length)
-    shared = found.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("h")
-    shared = materialize(shared, "shared-anchors")
-    release(spark)
-    wanted = materialize(found.select("key", "h").join(shared, "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("hs")), "wanted")
+    texts = named.select("doc", "key", "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-2 * size // ((length - GRAM + 2) * ANCHORS)))
+    found = materialize(anchors(texts.select("doc", "text"), length, buckets), "anchors")
+    wanted = materialize(shared_anchors(found, buckets).groupBy("doc").agg(F.collect_set("h").alias("hs")), "wanted")
     release(spark)
-    each = shared_contexts(named.select("doc", "key", "text").dropDuplicates(["doc", "key"]), wanted, length)
+    each = shared_contexts(texts, wanted, length)
     each = materialize(each.withColumn("c1", F.xxhash64("bytes")).withColumn("c2", F.xxhash64(F.lit(1), "bytes")), "contexts")
     release(spark)
     hot = materialize(each.groupBy("h").agg(F.approx_count_distinct("c1").alias("n")).filter(F.col("n") > HOT).select("h"), "hot-anchors")
@@ -246,12 +315,13 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = materialize(every.groupBy("deal", "bytes", "c1", "c2").agg(F.min("doc").alias("least")), "distinct-contexts")
     release(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // TASK_CONTEXTS))
-    masked = materialize(masks(distinct, parts, length), "masks")
-    per_context = distinct.select("c1", "c2", "least").join(masked, ["c1", "c2"], "left")
+    masked = masks(distinct, parts, length)
+    # Written, so that the next join is a plain one, which adaptive execution can split at a context that many have.
+    per_context = materialize(distinct.select("c1", "c2", "least").join(masked, ["c1", "c2"], "left"), "masks")
     placed = every.select("doc", "key", "start", "windows", "c1", "c2").join(per_context, ["c1", "c2"])
     all_bits = F.expr("shiftleft(1L, cast(windows AS int)) - 1")
     mask = F.when(F.col("doc") > F.col("least"), all_bits).otherwise(F.col("mask"))
-    marks = placed.select("key", "start", mask.alias("mask")).filter("mask is not null").groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
+    marks = placed.select("key", "start", mask.alias("mask")).filter("mask is not null").groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
     marks = materialize(marks, "marks")
     release(spark)
     return cut_texts(named.join(marks, "key", "left"), length)
