@@ -10,8 +10,9 @@ sorted, and where, is chosen so that every sort is bounded:
   anchor make a context of at most ``2 * length - gram`` bytes.
 * Only anchors found in two documents or more can matter.  Batches pack their
   hashes by bucket, combined first, and each bucket is compared in one sort.
-* Contexts that are equal byte for byte are one row with their smallest id, so
-  copies cost one row per task, however many there are.
+* Of documents with one text only the first is compared; the others go whole.
+  Anchors are counted by the 64-bit hash of their text.
+* Contexts that are equal byte for byte are one row with their smallest id.
 * The distinct contexts are dealt by anchor; an anchor with more than ``HOT`` of
   them is dealt by its single windows instead.  Each task sorts its contexts in
   chunks cut between anchors, and finds the smallest id of every class of
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.llm.common import key_runs, small_batches, table, text_key
 from fleetpulse.llm.induced_sort import suffix_order
-from fleetpulse.session import materialize, ship
+from fleetpulse.session import discard, materialize, ship
 
 LENGTH = 50
 GRAM = 20
@@ -98,16 +99,16 @@ def encoded(texts: pa.Array) -> list[bytes]:
 
 
 def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, n, packed) of the anchors of (doc, text), packed by bucket for the shuffle.
+    """(bucket, n, packed) of the anchors of (ident, text), packed by bucket for the shuffle.
 
-    An anchor that two documents of one batch have is known to be shared, so the
-    batch sends its documents as rows of their own (bucket -1) and only the hash
+    An anchor that two texts of one batch have is known to be shared, so the
+    batch sends those texts as rows of their own (bucket -1) and only the hash
     onwards.  A hash in a third of all documents thus costs one entry per batch.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2048):
-            ids = batch.column("doc").to_numpy()
+            ids = batch.column("ident").to_numpy()
             owners, hashes = [], []
             texts = batch.column("text")
             for i in range(0, len(ids), 512):
@@ -148,13 +149,13 @@ def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_anchors(found: DataFrame, buckets: int) -> DataFrame:
-    """(doc, h) of the anchors that two documents or more have.
+    """(ident, h) of the anchors that two texts or more have.
 
     A bucket holds about ANCHORS entries, whatever the input's size.
     """
 
     def told(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h)], names=["doc", "h"])
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h)], names=["ident", "h"])
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,17 +170,17 @@ def shared_anchors(found: DataFrame, buckets: int) -> DataFrame:
             h, doc = h[order], doc[order]
             opens = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             sizes = np.diff(np.append(opens, len(h)))
-            # LEAST_ID sorts first and stands for documents that have been told of already.
+            # LEAST_ID stands for texts that have been told of already.
             shared = np.repeat((doc[opens] != doc[opens + sizes - 1]), sizes) & (doc != LEAST_ID)
             yield told(h[shared], doc[shared])
 
-    near = found.filter("bucket < 0").mapInArrow(known, "doc long, h long")
-    far = found.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(asked, "doc long, h long")
+    near = found.filter("bucket < 0").mapInArrow(known, "ident long, h long")
+    far = found.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(asked, "ident long, h long")
     return near.unionByName(far)
 
 
 def shared_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(doc, key, h, start, windows, bytes) of contexts whose anchor is in ``wanted`` (doc, hs)."""
+    """(doc, key, h, start, windows, bytes) of contexts whose anchor is in ``wanted`` (ident, doc, hs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 128):
@@ -199,7 +200,7 @@ def shared_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
                 names=["doc", "key", "h", "start", "windows", "bytes"],
             )
 
-    joined = docs.join(wanted, "doc").select("doc", "key", "text", "hs")
+    joined = docs.join(wanted, ["ident", "doc"]).select("doc", "key", "text", "hs")
     return joined.mapInArrow(rows, "doc long, key long, h long, start long, windows long, bytes binary")
 
 
@@ -263,7 +264,9 @@ def cut_texts(docs: DataFrame, length: int) -> DataFrame:
             found = batch.column("found").to_pylist()
             for data, marks in zip(encoded(batch.column("text")), found):
                 change = np.zeros(len(data) + 1, np.int64)
-                if marks:
+                if marks and marks[0]["start"] < 0:
+                    change[0] = len(data) >= length
+                elif marks:
                     start = np.array([m["start"] for m in marks], dtype=np.int64)
                     mask = np.array([m["mask"] for m in marks], dtype=np.int64)
                     bits = (mask[:, None] >> np.arange(length - GRAM + 1)) & 1
@@ -291,14 +294,20 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_bytes, n_removed, n_spans, kept bytes) for every row."""
     spark = ship(docs.sparkSession)
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = named.select("doc", "key", "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # The hash of a text; LEAST_ID is taken as a mark.
+    ident = F.greatest(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(NULL_ID))
+    named = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), text_key(id_col, text_col).alias("key"), ident.alias("ident"), F.col(text_col).alias("text")
+    )
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-2 * size // ((length - GRAM + 2) * ANCHORS)))
-    found = materialize(anchors(texts.select("doc", "text"), length, buckets), "anchors")
-    wanted = materialize(shared_anchors(found, buckets).groupBy("doc").agg(F.collect_set("h").alias("hs")), "wanted")
+    first = materialize(named.groupBy("ident").agg(F.min("doc").alias("doc")), "first-texts")
+    found = materialize(anchors(named.select("ident", "text"), length, buckets), "anchors")
+    wanted = shared_anchors(found, buckets).groupBy("ident").agg(F.collect_set("h").alias("hs"))
+    wanted = materialize(wanted.join(first, "ident"), "wanted")
+    discard(found)
     release(spark)
-    each = shared_contexts(texts, wanted, length)
+    each = shared_contexts(named.select("ident", "doc", "key", "text"), wanted, length)
     each = materialize(each.withColumn("c1", F.xxhash64("bytes")).withColumn("c2", F.xxhash64(F.lit(1), "bytes")), "contexts")
     release(spark)
     hot = materialize(each.groupBy("h").agg(F.approx_count_distinct("c1").alias("n")).filter(F.col("n") > HOT).select("h"), "hot-anchors")
@@ -322,7 +331,12 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all_bits = F.expr("shiftleft(1L, cast(windows AS int)) - 1")
     mask = F.when(F.col("doc") > F.col("least"), all_bits).otherwise(F.col("mask"))
     marks = placed.select("key", "start", mask.alias("mask")).filter("mask is not null").groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
-    marks = materialize(marks, "marks")
+    copies = named.select("ident", "key", F.col("doc").alias("own")).join(first, "ident").filter(F.col("own") > F.col("doc"))
+    # A copy goes whole: its mark is a start of -1.
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("mask")))
+    marks = materialize(marks.unionByName(copies.select("key", whole.alias("found")).distinct()), "marks")
+    for written in (wanted, each, distinct, per_context):
+        discard(written)
     release(spark)
     return cut_texts(named.join(marks, "key", "left"), length)
 
