@@ -41,7 +41,7 @@ LENGTH = 50
 GRAM = 20
 HOT = 20_000
 ANCHORS = 500_000
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 TASK_CONTEXTS = 100_000
 LEAST_ID = -(1 << 63)
 NULL_ID = LEAST_ID + 1
@@ -243,6 +243,12 @@ def masks(distinct: DataFrame, parts: int, length: int) -> DataFrame:
 
         chunk, size = [], 0
         for run in key_runs(batches, "deal"):
+            # An anchor with one distinct context has nothing to compare.
+            deal = run.column("deal").to_numpy()
+            same = deal[1:] == deal[:-1]
+            run = run.filter(pa.array(np.append(same, False) | np.append(False, same)))
+            if not run.num_rows:
+                continue
             chunk.append(run)
             size += run.column("bytes").nbytes
             if size >= CHUNK_BYTES:
