@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from dataclasses import replace
 
 import pandas as pd
@@ -24,7 +25,7 @@ from fleetpulse.operators.health import CALIBRATION_SCHEMA, calibrate, health_su
 from fleetpulse.plans import evaluation, monitoring, recalibration, training
 from fleetpulse.plans.building import build_features
 from fleetpulse.session import materialize, scratch_root, ship, tune
-from fleetpulse.sources.readings import read_new_rows, readings_from_events, stream_table
+from fleetpulse.sources.readings import read_new_rows, read_pages, readings_from_events, stream_table
 from fleetpulse.sources.registry import Model
 from fleetpulse.sources.signature import table_signature
 from fleetpulse.streaming import monitor as streaming
@@ -191,10 +192,21 @@ def label_normalized(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incremental_rows(spark: SparkSession, sf: str) -> DataFrame:
-    newer = read_new_rows(_events(spark, sf), F.to_timestamp(F.lit(NEW_ROWS_AFTER)), limit=5000)
+    newer = read_new_rows(_events(spark, sf), F.to_timestamp(F.lit(NEW_ROWS_AFTER)))
     return newer.select("asset_id", stamp(), *[six(s) for s in SENSORS])
 
 
+def incremental_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table read in pages, on times that many assets share."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        F.col("l_suppkey").cast("string").alias("asset_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_quantity").cast("double").alias("vibration"), F.lit(0.0).alias("current"), F.lit(0.0).alias("temperature"),
+    )
+    pages = read_pages(rows, limit=rows.count() // 3 + 1)
+    every = reduce(DataFrame.unionByName, pages)
+    return every.groupBy("asset_id", stamp()).agg(F.count("*").alias("n_rows"), F.sum("vibration").alias("total"))
+
+
 def source_signature(spark: SparkSession, sf: str) -> DataFrame:
     return table_signature(_events(spark, sf))
 
@@ -490,6 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_problems": label_problems,
     "label_normalized": label_normalized,
     "incremental_rows": incremental_rows,
+    "incremental_pages": incremental_pages,
     "source_signature": source_signature,
     "features_basic": _feature_query("mean", "std", "max", "min", "rms"),
     "features_shape": _feature_query("kurtosis", "skew", "crest_factor"),

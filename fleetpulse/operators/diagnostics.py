@@ -64,11 +64,11 @@ def permutation_importance(
         return pd.DataFrame({"feature": names, "change": changes, "n": len(x) * repeats})
 
     identity = [F.col("asset_id"), F.col("ts")]
-    group_id = F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), *identity), F.lit(groups)).cast("int")
+    group_id = F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), *identity), F.lit(groups)).cast("long")
     rank = F.xxhash64(F.lit(seed), F.lit("order"), *identity)
     dealt = reference.select(group_id.alias("group_id"), rank.alias("rank"), *names)
     # One exchange with a fixed width: scoring variants is CPU work.
-    width = min(groups, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    width = min(groups, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 64))
     parts = dealt.repartition(width, "group_id").groupBy("group_id").applyInPandas(
         importance, "feature string, change double, n long"
     )

@@ -54,8 +54,15 @@ def fails_within(days: float) -> Column:
 
 
 def align_labels(predictions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Left join on (asset, time); a repeated or unmatched key fails the job."""
-    joined = predictions.join(labels, [ASSET, "ts"], "left")
+    """Left join on (asset, time); a key repeated on either side, or unmatched, fails the job.
+
+    Labels are counted by key before the join, so that a repeated label fails
+    even where no prediction asks for it.
+    """
+    twice = F.raise_error(F.concat(F.lit("not one to one: label repeated at "), F.concat_ws(" ", ASSET, F.col("ts").cast("string")))).cast("string")
+    single = labels.groupBy(ASSET, "ts").agg(F.count("*").alias("n"), F.max("health_status").alias("health_status"))
+    single = single.select(ASSET, "ts", F.when(F.col("n") > 1, twice).otherwise(F.col("health_status")).alias("health_status"))
+    joined = predictions.join(single, [ASSET, "ts"], "left")
     copies = F.count("*").over(W.partitionBy(ASSET, "ts"))
     key = F.concat_ws(" ", ASSET, F.col("ts").cast("string"))
     checked = (

@@ -57,7 +57,7 @@ def split_by_heat(df: DataFrame, cfg: EngineConfig = DEFAULT, count_from: DataFr
     return Split(
         cold=df.join(ids, ASSET, "left_anti"),
         hot=df.join(ids, ASSET, "left_semi"),
-        hot_slices=max(1, min(20_000, ceil(n_hot / cfg.block_rows))),
+        hot_slices=max(1, ceil(n_hot / cfg.block_rows)),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fleetpulse.config import DEFAULT, SENSORS, EngineConfig
@@ -47,13 +49,32 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def read_new_rows(table: DataFrame, since=None, limit: int = 5000) -> DataFrame:
-    """Readings strictly after ``since`` in time order, at most ``limit``.
+def whole_page(newer: DataFrame, time: str, limit: int | None) -> DataFrame:
+    """Rows up to the time of the ``limit``-th one, all rows of that time included.
 
-    The filter reaches the scan; the limited sort keeps ``limit`` rows per task.
+    A page never ends inside a timestamp, so the last time of a page is a
+    lossless cursor even if a whole fleet shares its timestamps.
     """
+    if limit is None:
+        return newer
+    last = newer.select(time).orderBy(time).limit(limit).agg(F.max(time)).first()[0]
+    return newer.filter(F.col(time) <= F.lit(last)).orderBy(time) if last is not None else newer.limit(0)
+
+
+def read_new_rows(table: DataFrame, since=None, limit: int | None = None) -> DataFrame:
+    """Readings strictly after ``since``; with a ``limit``, one page of them."""
     newer = table if since is None else table.filter(F.col("ts") > F.lit(since))
-    return newer.select("asset_id", "ts", *SENSORS).orderBy("ts", "asset_id").limit(limit)
+    return whole_page(newer.filter(F.col("ts").isNotNull()).select("asset_id", "ts", *SENSORS), "ts", limit)
+
+
+def read_pages(table: DataFrame, since=None, limit: int = 5000) -> Iterator[DataFrame]:
+    """All readings after ``since`` page by page; the cursor is the last time of a page."""
+    while True:
+        page = read_new_rows(table, since, limit)
+        since = page.agg(F.max("ts")).first()[0]
+        if since is None:
+            return
+        yield page
 
 
 def read_jdbc_new_rows(
@@ -61,18 +82,17 @@ def read_jdbc_new_rows(
     url: str,
     table: str,
     since: str | None = None,
-    limit: int | None = 5000,
+    limit: int | None = None,
     asset_id: str | None = None,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """New rows of a database table; projection, filter, order and limit are pushed down."""
+    """New rows of a database table; projection, filter and the page's end are pushed down."""
     df = spark.read.jdbc(url, table, properties=properties or {})
     names = {c.lower(): c for c in df.columns}
     df = df.select(*[F.col(names[c]).alias(c) for c in (RAW_TIME, *RAW_SENSORS.values(), "asset_id") if c in names])
     if since is not None:
         df = df.filter(F.col(RAW_TIME) > F.to_timestamp(F.lit(since)))
-    df = df.orderBy(RAW_TIME)
-    return _project(df if limit is None else df.limit(limit), asset_id, label=False)
+    return _project(whole_page(df, RAW_TIME, limit), asset_id, label=False)
 
 
 def stream_table(spark: SparkSession, path: str, max_files: int = 1, schema: T.StructType = READING_SCHEMA) -> DataFrame:

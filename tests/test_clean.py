@@ -101,3 +101,10 @@ def test_new_rows_and_split(spark):
     assert (first.count(), rest.count()) == (8, 3)
     semi, anti = clean.split_by_membership(df, df.filter("asset_id = 'b'"))
     assert (semi.count(), anti.count()) == (3, 8)
+
+
+def test_pages_lose_no_shared_timestamps(spark):
+    df = readings(spark, {a: [(1.0, 1.0, 1.0)] * 3 for a in "abcd"})
+    pages = [page.collect() for page in sources.read_pages(df, limit=3)]
+    assert [len(p) for p in pages] == [4, 4, 4]
+    assert len({(r.asset_id, r.ts) for p in pages for r in p}) == 12
