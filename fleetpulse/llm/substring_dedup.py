@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from fleetpulse.llm.common import key_runs, small_batches, table, text_key
@@ -39,9 +40,10 @@ from fleetpulse.session import discard, materialize, ship
 
 LENGTH = 50
 GRAM = 20
-HOT = 20_000
+HOT = 4_000
 ANCHORS = 500_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+SLICE_BYTES = 1 << 18
 TASK_CONTEXTS = 100_000
 LEAST_ID = -(1 << 63)
 NULL_ID = LEAST_ID + 1
@@ -98,6 +100,15 @@ def encoded(texts: pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Cuts (from, to) of ``texts`` at every SLICE_BYTES; a slice holds one text more at most."""
+    if not len(texts):
+        return []
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    opens = np.flatnonzero(np.diff(ends // SLICE_BYTES, prepend=-1))
+    return list(zip(opens.tolist(), [*opens[1:].tolist(), len(texts)]))
+
+
 def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, n, packed) of the anchors of (ident, text), packed by bucket for the shuffle.
 
@@ -111,8 +122,8 @@ def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             ids = batch.column("ident").to_numpy()
             owners, hashes = [], []
             texts = batch.column("text")
-            for i in range(0, len(ids), 512):
-                owner, _, _, h = contexts_of(encoded(texts.slice(i, 512)), length)
+            for i, end in slices(texts):
+                owner, _, _, h = contexts_of(encoded(texts.slice(i, end - i)), length)
                 owners.append(ids[owner + i])
                 hashes.append(h)
             doc, h = np.concatenate(owners), np.concatenate(hashes)
@@ -183,7 +194,7 @@ def shared_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFram
     """(doc, key, h, start, windows, bytes) of contexts whose anchor is in ``wanted`` (ident, doc, hs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 128):
+        for batch in (b.slice(i, end - i) for b in batches for i, end in slices(b.column("text"))):
             texts = encoded(batch.column("text"))
             owner, start, runs, h = contexts_of(texts, length)
             lists = batch.column("hs")
