@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetpulse.config import DEFAULT, FEATURES, SENSORS
+from fleetpulse.config import DEFAULT, FEATURES, SENSORS, EngineConfig
 from fleetpulse.functions.columns import rounded, sensor_label
 from fleetpulse.operators import clean, diagnostics, evaluate, explain, layout, policy
 from fleetpulse.operators.features import drop_counts
@@ -34,6 +34,10 @@ from fleetpulse.streaming import monitor as streaming
 SCORE_BASE, SCORE_STEP = -0.44, 0.0653719
 MEAN, STD = -0.44, 0.05
 COMMISSIONING_ROWS = 500
+LONG_COMMISSIONING_ROWS = 1500
+MIN_CALIBRATION_ROWS = 1000
+# Every asset counts as hot and is cut into many blocks; the results are the same.
+HOT = replace(DEFAULT, hot_rows=500, block_rows=400)
 REDUNDANT_ABOVE = 0.6
 NEW_ROWS_AFTER = "2024-01-10 00:00:00"
 DIGITS = 6
@@ -169,9 +173,9 @@ def spec_pass_rate(spark: SparkSession, sf: str) -> DataFrame:
     return rates.select("asset_id", "n_rows", "n_normal", six("pass_rate"), F.col("is_empty").cast("int").alias("is_empty"))
 
 
-def reference_split(spark: SparkSession, sf: str) -> DataFrame:
+def reference_split(spark: SparkSession, sf: str, rows: int = COMMISSIONING_ROWS) -> DataFrame:
     first, rest = clean.split_commissioning(
-        clean.clean_readings(_events(spark, sf)), replace(DEFAULT, commissioning_rows=COMMISSIONING_ROWS)
+        clean.clean_readings(_events(spark, sf)), replace(DEFAULT, commissioning_rows=rows)
     )
     both = first.withColumn("part", F.lit("reference")).unionByName(rest.withColumn("part", F.lit("rest")))
     return both.select("asset_id", stamp(), "part")
@@ -214,11 +218,11 @@ def source_signature(spark: SparkSession, sf: str) -> DataFrame:
 # -- features --------------------------------------------------------------
 
 
-def _feature_query(*stats: str) -> Callable[[SparkSession, str], DataFrame]:
+def _feature_query(*stats: str, cfg: EngineConfig = DEFAULT) -> Callable[[SparkSession, str], DataFrame]:
     names = [f for f in FEATURES if any(f.endswith("_" + s) for s in stats)]
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return _features(spark, sf).select("asset_id", stamp(), "tick", *[six(n) for n in names])
+        return build_features(_events(spark, sf), cfg).select("asset_id", stamp(), "tick", *[six(n) for n in names])
 
     return query
 
@@ -246,8 +250,8 @@ def recalibration_windows(spark: SparkSession, sf: str) -> DataFrame:
 # -- labels ----------------------------------------------------------------
 
 
-def next_critical(spark: SparkSession, sf: str) -> DataFrame:
-    rows = evaluate.next_critical_time(_events(spark, sf, labelled=True).select("asset_id", "ts", "health_status"))
+def next_critical(spark: SparkSession, sf: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    rows = evaluate.next_critical_time(_events(spark, sf, labelled=True).select("asset_id", "ts", "health_status"), cfg)
     text = F.date_format("next_critical", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("next_critical")
     return rows.select("asset_id", stamp(), "health_status", text)
 
@@ -372,16 +376,23 @@ def recommend(spark: SparkSession, sf: str) -> DataFrame:
     return _policy_rows(spark, sf).select("asset_id", stamp(), "raw_level", "raw_trigger", "raw_reason")
 
 
-def debounce(spark: SparkSession, sf: str) -> DataFrame:
-    rows = monitoring.debounce_levels(_policy_rows(spark, sf))
+def debounce(spark: SparkSession, sf: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    rows = monitoring.debounce_levels(_policy_rows(spark, sf), cfg)
     return rows.select("asset_id", stamp(), "output", "maintenance_level", "maintenance_trigger", "maintenance_reason")
 
 
-def monitor_flat(spark: SparkSession, sf: str) -> DataFrame:
+def _log_form(flat: DataFrame) -> DataFrame:
+    dropped = ("asset_id", "ts", "calibration_source", "run_id", "batch_id", "processed_at", *SENSORS)
+    return flat.select("asset_id", stamp(), *[c for c in flat.columns if c not in dropped])
+
+
+def _monitored(spark: SparkSession, sf: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    return monitoring.flatten_predictions(monitoring.monitor_batch(_events(spark, sf), _stand_in(spark, sf), cfg, scorer=_with_score))
+
+
+def monitor_flat(spark: SparkSession, sf: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """The whole batch monitor with the stand-in score, in log form."""
-    flat = monitoring.flatten_predictions(monitoring.monitor_batch(_events(spark, sf), _stand_in(spark, sf), scorer=_with_score))
-    kept = [c for c in flat.columns if c not in ("asset_id", "ts", "calibration_source", *SENSORS)]
-    return flat.select("asset_id", stamp(), *kept)
+    return _log_form(_monitored(spark, sf, cfg))
 
 
 # -- evaluation ------------------------------------------------------------
@@ -401,6 +412,12 @@ def roc_auc(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ranking_metrics(_metric_rows(spark, sf), "y", "risk").select(six("roc_auc"))
 
 
+def roc_auc_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """On a score far outside [0, 1]: only its order counts."""
+    rows = _metric_rows(spark, sf).withColumn("risk", F.col("risk") * 50 - 10)
+    return evaluate.ranking_metrics(rows, "y", "risk").select(six("roc_auc"))
+
+
 def avg_precision(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.ranking_metrics(_metric_rows(spark, sf), "y", "risk").select(six("average_precision"))
 
@@ -413,10 +430,10 @@ def ece(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.expected_calibration_error(_metric_rows(spark, sf), "y", "risk").select(six("ece"))
 
 
-def eval_counts(spark: SparkSession, sf: str) -> DataFrame:
+def eval_counts(spark: SparkSession, sf: str, cfg: EngineConfig = DEFAULT) -> DataFrame:
     labelled = _events(spark, sf, labelled=True)
-    flat = evaluation.replay(labelled, _stand_in(spark), scorer=_with_score)
-    return evaluate.dataset_counts(labelled, evaluate.targets(flat, labelled))
+    flat = evaluation.replay(labelled, _stand_in(spark), cfg, scorer=_with_score)
+    return evaluate.dataset_counts(labelled, evaluate.targets(flat, labelled, cfg))
 
 
 def evaluation_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -444,6 +461,19 @@ def monitor_batch(spark: SparkSession, sf: str) -> DataFrame:
     return monitoring.flatten_predictions(monitoring.monitor_batch(_events(spark, sf), model)).withColumn("ts", stamp())
 
 
+def recalibrate_rated(spark: SparkSession, sf: str) -> DataFrame:
+    """Anchors of every asset with the stand-in score; assets with too few rated rows stay, without anchors."""
+    cfg = replace(DEFAULT, min_calibration_rows=MIN_CALIBRATION_ROWS)
+    few = F.when(F.col("asset_id") == "view", F.col("vibration") + 2).otherwise(F.col("vibration"))
+    report = recalibration.recalibration_report(_events(spark, sf).withColumn("vibration", few), _stand_in(spark), cfg, _with_score)
+    return report.select(
+        F.col("scope").alias("asset_id"), "n_clean", "n_normal", F.col("eligible").cast("int").alias("eligible"),
+        "n_rows", six("baseline_mean"), six("baseline_std"),
+        rounded(F.col("feat_mean")["current_rms"], DIGITS).alias("current_rms_mean"),
+        rounded(F.col("feat_std")["current_rms"], DIGITS).alias("current_rms_std"),
+    )
+
+
 def recalibrate_fleet(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = _trained(spark, sf)
     return _calibration_rows(recalibration.recalibrate(_events(spark, sf), model))
@@ -504,6 +534,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_rows": incremental_rows,
     "incremental_pages": incremental_pages,
     "source_signature": source_signature,
+    "reference_split_1500": partial(reference_split, rows=LONG_COMMISSIONING_ROWS),
+    "features_all_hot": _feature_query(*{f.split("_", 1)[1] for f in FEATURES}, cfg=HOT),
+    "next_critical_hot": partial(next_critical, cfg=HOT),
+    "debounce_hot": partial(debounce, cfg=HOT),
+    "monitor_flat_hot": partial(monitor_flat, cfg=HOT),
+    "eval_counts_hot": partial(eval_counts, cfg=HOT),
+    "roc_auc_raw": roc_auc_raw,
+    "recalibrate_rated": recalibrate_rated,
     "features_basic": _feature_query("mean", "std", "max", "min", "rms"),
     "features_shape": _feature_query("kurtosis", "skew", "crest_factor"),
     "features_slope": _feature_query("trend_slope"),

@@ -42,6 +42,7 @@ FEATURE_VERSION = 1
 
 @dataclass(frozen=True)
 class EngineConfig:
+    # Defaults of the monitoring policy, down to min_calibration_rows.
     # rolling features
     window_rows: int = 10
     # rated range of a healthy reading (inclusive)
@@ -87,6 +88,8 @@ class EngineConfig:
     def __post_init__(self) -> None:
         if not 2 <= self.confirm_ticks <= self.clear_ticks:
             raise ValueError("need 2 <= confirm_ticks <= clear_ticks")
+        if self.process_var <= 0 or self.measurement_var <= 0:
+            raise ValueError("process_var and measurement_var must be above 0")
         if self.window_rows < 4:
             raise ValueError("kurtosis needs window_rows >= 4")
 

@@ -89,17 +89,27 @@ def cleaning_counters(readings: DataFrame) -> DataFrame:
 
 
 def split_commissioning(df: DataFrame, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """First ``commissioning_rows`` readings of each asset, and all later ones.
+    """First ``commissioning_rows`` readings of each asset, and all others.
 
-    The row limit is applied per input partition before the shuffle, so a large
-    asset sends few rows.  The rest is everything after the last kept time;
-    timestamps are unique per asset once cleaned.
+    Readings are counted by asset and hour, combined before the shuffle; only
+    the hour in which an asset reaches the limit is ever sorted.  The time of
+    the last kept reading divides the rest, so every row is in one part: rows
+    that share that time stay together, rows without a time are in the rest.
+    An asset may be NULL; one with fewer readings is kept whole.
     """
-    nth = F.row_number().over(W.partitionBy(ASSET).orderBy(*reading_order()))
-    first = df.withColumn("nth", nth).filter(F.col("nth") <= cfg.commissioning_rows).drop("nth")
-    ends = first.groupBy(ASSET).agg(F.max("ts").alias("until"))
-    rest = df.join(ends, ASSET).filter(F.col("ts") > F.col("until")).select(*df.columns)
-    return first, rest
+    hour = F.date_trunc("hour", F.col("ts"))
+    own = [F.col(ASSET).eqNullSafe(F.col("limited")), F.col("at") == F.col("hour")]
+    per_hour = df.filter(F.col("ts").isNotNull()).groupBy(F.col(ASSET).alias("limited"), hour.alias("hour")).agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("limited").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)
+    per_hour = per_hour.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    full = (F.col("before") < cfg.commissioning_rows) & (F.col("before") + F.col("n") >= cfg.commissioning_rows)
+    inside = df.select(ASSET, "ts", hour.alias("at")).join(per_hour.filter(full), own)
+    nth = F.row_number().over(W.partitionBy("limited").orderBy("ts"))
+    last = inside.withColumn("nth", nth).filter(F.col("before") + F.col("nth") == cfg.commissioning_rows)
+    ends = last.select("limited", F.col("ts").alias("until"))
+    placed = df.join(ends, own[0], "left")
+    kept = F.col("ts").isNotNull() & (F.col("until").isNull() | (F.col("ts") <= F.col("until")))
+    return placed.filter(kept).select(*df.columns), placed.filter(~kept).select(*df.columns)
 
 
 def split_by_membership(features: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:

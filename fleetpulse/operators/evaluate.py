@@ -14,6 +14,7 @@ from fleetpulse.operators.policy import policy_column
 
 ECE_BINS = 10
 RANK_BUCKETS = 1024
+RANK_REACH = 4.0
 
 
 # -- alignment and targets ------------------------------------------------
@@ -60,8 +61,9 @@ def align_labels(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     even where no prediction asks for it.
     """
     twice = F.raise_error(F.concat(F.lit("not one to one: label repeated at "), F.concat_ws(" ", ASSET, F.col("ts").cast("string")))).cast("string")
-    single = labels.groupBy(ASSET, "ts").agg(F.count("*").alias("n"), F.max("health_status").alias("health_status"))
-    single = single.select(ASSET, "ts", F.when(F.col("n") > 1, twice).otherwise(F.col("health_status")).alias("health_status"))
+    values = [c for c in labels.columns if c not in (ASSET, "ts")]
+    single = labels.groupBy(ASSET, "ts").agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in values])
+    single = single.withColumn("health_status", F.when(F.col("n") > 1, twice).otherwise(F.col("health_status"))).drop("n")
     joined = predictions.join(single, [ASSET, "ts"], "left")
     copies = F.count("*").over(W.partitionBy(ASSET, "ts"))
     key = F.concat_ws(" ", ASSET, F.col("ts").cast("string"))
@@ -131,13 +133,15 @@ def ranking_metrics(df: DataFrame, truth: str, score: str) -> DataFrame:
     """ROC-AUC (ties count half) and average precision, exact, as one row.
 
     Rows first collapse to one per distinct score. Cumulative counts run inside
-    buckets of the score range [0, 1]; a table of one row per bucket, at most
-    RANK_BUCKETS + 1 of them, carries the totals across. NULL with one class.
+    buckets of the score; a table of one row per bucket carries the totals
+    across. Scores beyond RANK_REACH share the end buckets, so that table has at
+    most 2 * RANK_REACH * RANK_BUCKETS + 1 rows whatever the scores are. NULL
+    with one class.
     """
     per_score = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")
     )
-    per_score = per_score.withColumn("bucket", F.floor(F.col("score") * RANK_BUCKETS).cast("int"))
+    per_score = per_score.withColumn("bucket", F.floor(clip(F.col("score"), -RANK_REACH, RANK_REACH) * RANK_BUCKETS).cast("int"))
     totals = per_score.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     higher = W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)

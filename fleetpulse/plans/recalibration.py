@@ -10,6 +10,7 @@ from fleetpulse.operators.forest import score_rows
 from fleetpulse.operators.health import calibrate
 from fleetpulse.operators.layout import ASSET
 from fleetpulse.plans.building import build_features
+from fleetpulse.plans.monitoring import Scorer
 from fleetpulse.sources.registry import Model
 
 
@@ -21,15 +22,25 @@ def eligibility(readings: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return counts.withColumn("eligible", F.col("n_normal") >= cfg.min_calibration_rows)
 
 
-def recalibrate(readings: DataFrame, model: Model, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Local calibrations of all assets with enough rated readings, in one job.
+def recalibration_report(readings: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, scorer: Scorer | None = None) -> DataFrame:
+    """Every asset with its clean and rated rows, ``eligible``, and the new anchors where it is.
 
-    Readings are filtered first and windows formed from what is left.
+    Readings are filtered first and windows formed from what is left. Assets
+    with too few rated readings stay in the result with NULL anchors.
     """
     features = build_features(readings, cfg, clean=True, rated_only=True)
-    local = calibrate(score_rows(features, model.nodes, model.features), by_asset=True, features=model.features)
-    enough = eligibility(readings, cfg).filter("eligible").select(F.col(ASSET).alias("scope"))
-    return local.join(enough, "scope", "left_semi")
+    scored = scorer(features) if scorer else score_rows(features, model.nodes, model.features)
+    local = calibrate(scored, by_asset=True, features=model.features)
+    assets = eligibility(readings, cfg).withColumnRenamed(ASSET, "scope")
+    joined = assets.join(local, "scope", "left")
+    anchors = [F.when(F.col("eligible"), F.col(c)).alias(c) for c in local.columns if c != "scope"]
+    return joined.select(*assets.columns, *anchors)
+
+
+def recalibrate(readings: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, scorer: Scorer | None = None) -> DataFrame:
+    """Local calibrations of all assets with enough rated readings, in one job."""
+    report = recalibration_report(readings, model, cfg, scorer)
+    return report.filter(F.col("eligible") & F.col("n_rows").isNotNull()).drop("n_clean", "n_normal", "eligible")
 
 
 def recalibrate_one(readings: DataFrame, asset_id: str, model: Model, cfg: EngineConfig = DEFAULT) -> DataFrame:

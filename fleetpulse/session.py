@@ -51,13 +51,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch_path = path
+    _WRITTEN.append(path)
     return written
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote, once nothing reads it any more."""
-    context = df.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    _delete(df.sparkSession, df.scratch_path)
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared folder; ``discard_all`` deletes it."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete everything written so far, once no result is read any more."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -92,3 +110,4 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 _SHIPPED: dict[str, str] = {}
+_WRITTEN: list[str] = []

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fleetpulse.config import DEFAULT, SENSORS, EngineConfig
 from fleetpulse.functions.columns import nan_to_null
+from fleetpulse.operators.clean import parse_time
 
 READING_SCHEMA = T.StructType(
     [T.StructField("asset_id", T.StringType()), T.StructField("ts", T.TimestampType())]
@@ -22,26 +23,29 @@ RAW_LABEL = "health_status"
 DEFAULT_ASSET = "unit"
 
 
-def _project(raw: DataFrame, asset_id: str | None, label: bool) -> DataFrame:
+def _project(raw: DataFrame, asset_id: str | None, label: bool, fmt: str | None = None) -> DataFrame:
     """Select by name, so no other column is ever read; names must exist."""
     needed = [RAW_TIME, *RAW_SENSORS.values()] + ([RAW_LABEL] if label else [])
     missing = [c for c in needed if c not in raw.columns]
     if missing:
         raise ValueError(f"missing required columns {missing}; found {raw.columns}")
     asset = F.col("asset_id").cast("string") if asset_id is None and "asset_id" in raw.columns else F.lit(asset_id or DEFAULT_ASSET)
-    time = F.try_to_timestamp(RAW_TIME) if dict(raw.dtypes)[RAW_TIME] == "string" else F.col(RAW_TIME).cast("timestamp")
+    time = parse_time(F.col(RAW_TIME), fmt) if dict(raw.dtypes)[RAW_TIME] == "string" else F.col(RAW_TIME).cast("timestamp")
     values = [nan_to_null(F.col(c).try_cast("double")).alias(s) for s, c in RAW_SENSORS.items()]
     return raw.select(asset.alias("asset_id"), time.alias("ts"), *values, *([F.col(RAW_LABEL)] if label else []))
 
 
-def read_csv(spark: SparkSession, path: str, asset_id: str | None = None) -> DataFrame:
-    """Timestamp and three sensors of a CSV file; text that is no number or time is NULL."""
-    return _project(spark.read.option("header", True).csv(path), asset_id, label=False)
+def read_csv(spark: SparkSession, path: str, asset_id: str | None = None, fmt: str | None = None) -> DataFrame:
+    """Timestamp and three sensors of a CSV file; text that is no number or time is NULL.
+
+    ``fmt`` is the pattern of the timestamps, ISO 8601 if it is not given.
+    """
+    return _project(spark.read.option("header", True).csv(path), asset_id, False, fmt)
 
 
-def read_labelled_csv(spark: SparkSession, path: str, asset_id: str | None = None) -> DataFrame:
+def read_labelled_csv(spark: SparkSession, path: str, asset_id: str | None = None, fmt: str | None = None) -> DataFrame:
     """The same plus the label, for evaluation only; rows are not cleaned."""
-    return _project(spark.read.option("header", True).csv(path), asset_id, label=True)
+    return _project(spark.read.option("header", True).csv(path), asset_id, True, fmt)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
