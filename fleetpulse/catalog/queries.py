@@ -7,11 +7,11 @@ must not depend on a random forest, a fixed score formula stands in for it.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 from dataclasses import replace
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,7 +24,7 @@ from fleetpulse.operators.forest import score_rows
 from fleetpulse.operators.health import CALIBRATION_SCHEMA, calibrate, health_summary, pick_calibration
 from fleetpulse.plans import evaluation, monitoring, recalibration, training
 from fleetpulse.plans.building import build_features
-from fleetpulse.session import materialize, scratch_root, ship, tune
+from fleetpulse.session import materialize, scratch_folder, ship, tune
 from fleetpulse.sources.readings import read_new_rows, read_pages, readings_from_events, stream_table
 from fleetpulse.sources.registry import Model
 from fleetpulse.sources.signature import table_signature
@@ -36,6 +36,7 @@ MEAN, STD = -0.44, 0.05
 COMMISSIONING_ROWS = 500
 LONG_COMMISSIONING_ROWS = 1500
 MIN_CALIBRATION_ROWS = 1000
+STREAM_CUTS = ("2024-01-10 00:00:00", "2024-01-20 00:00:00")
 # Every asset counts as hot and is cut into many blocks; the results are the same.
 HOT = replace(DEFAULT, hot_rows=500, block_rows=400)
 REDUNDANT_ABOVE = 0.6
@@ -506,7 +507,7 @@ def monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
     every event; it is too short a history to be predicted itself.
     """
     model, _ = _trained(spark, sf)
-    folder = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     readings = _events(spark, sf)
     readings.repartitionByRange(3, "ts").write.parquet(f"{folder}/in")
     closing = readings.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), *[F.max(s).alias(s) for s in SENSORS])
@@ -523,6 +524,66 @@ def monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out/predictions").drop("run_id", "batch_id", "processed_at").withColumn("ts", stamp())
 
 
+def _streamed(spark: SparkSession, sf: str, parts: list[DataFrame]) -> str:
+    """Folder of the stand-in monitor's output: one run of the stream for each part, all from one checkpoint.
+
+    The last part gets a reading of an asset of its own, a day later, which
+    moves the watermark past everything before it.
+    """
+    folder = scratch_folder(spark, "stream")
+    last = _events(spark, sf).agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    closing = last.select(F.lit("end of input").alias("asset_id"), "ts", *[F.lit(1.0).alias(s) for s in SENSORS])
+    base, step = SCORE_BASE, SCORE_STEP
+    for part in [*parts[:-1], parts[-1].unionByName(closing)]:
+        part.write.mode("append").parquet(f"{folder}/in")
+        streaming.start(
+            stream_table(spark, f"{folder}/in", max_files=1_000),
+            _stand_in(spark, sf),
+            f"{folder}/out",
+            f"{folder}/checkpoint",
+            trigger={"availableNow": True},
+            scorer=lambda x: base - step * np.maximum(0.0, x[:, FEATURES.index("vibration_mean")]),
+        ).awaitTermination()
+    return f"{folder}/out"
+
+
+def _by_time(rows: DataFrame) -> list[DataFrame]:
+    """The rows before, between and after two times."""
+    first, second = (F.to_timestamp(F.lit(t)) for t in STREAM_CUTS)
+    at = F.col("ts")
+    return [rows.filter(at < first), rows.filter((at >= first) & (at < second)), rows.filter(at >= second)]
+
+
+def stream_flat(spark: SparkSession, sf: str) -> DataFrame:
+    """All events through the stateful monitor in three runs; equals the batch monitor."""
+    out = _streamed(spark, sf, _by_time(_events(spark, sf)))
+    return _log_form(spark.read.parquet(f"{out}/predictions"))
+
+
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that come again in the third run, long after their time."""
+    first, second, third = _by_time(_events(spark, sf))
+    again = first.filter(F.col("temperature") > 50)
+    out = _streamed(spark, sf, [first, second, third.unionByName(again)])
+    return spark.read.parquet(f"{out}/late").select("asset_id", stamp(), *[six(s) for s in SENSORS], "reason")
+
+
+def stream_invalid(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows without an asset, a time or a sensor value, and impossible ones, each with its reason."""
+    t = F.col("temperature")
+    odd = _events(spark, sf).select(
+        F.when(t != 21, F.col("asset_id")).alias("asset_id"),
+        F.when(t != 22, F.col("ts")).alias("ts"),
+        F.when(t == 23, -1.0).otherwise(F.col("vibration")).alias("vibration"),
+        F.when(t != 24, F.col("current")).alias("current"),
+        "temperature",
+    )
+    parts = _by_time(odd)
+    parts[0] = parts[0].unionByName(odd.filter(F.col("ts").isNull()))
+    out = _streamed(spark, sf, parts)
+    return spark.read.parquet(f"{out}/invalid").select("asset_id", stamp(), *[six(s) for s in SENSORS], "reason")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_readings": clean_readings,
     "clean_counters": clean_counters,
@@ -542,6 +603,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_counts_hot": partial(eval_counts, cfg=HOT),
     "roc_auc_raw": roc_auc_raw,
     "recalibrate_rated": recalibrate_rated,
+    "stream_flat": stream_flat,
+    "stream_late": stream_late,
+    "stream_invalid": stream_invalid,
     "features_basic": _feature_query("mean", "std", "max", "min", "rms"),
     "features_shape": _feature_query("kurtosis", "skew", "crest_factor"),
     "features_slope": _feature_query("trend_slope"),

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 
 from fleetpulse.config import FEATURES, MINUTES_PER_DAY, SENSOR_PAIRS, SENSORS, EngineConfig
+from fleetpulse.functions.columns import normal_cdf_values
 from fleetpulse.operators.features import FLAT_SPREAD, LARGEST
 from fleetpulse.operators.forecast import MIN_RESIDUAL, NO_RISK, TINY_RESIDUAL
 
@@ -89,6 +91,16 @@ def trend_fits(x: np.ndarray, y: np.ndarray, new: int, cfg: EngineConfig) -> np.
     return out
 
 
+def decimals(values: np.ndarray, digits: int) -> np.ndarray:
+    """Half up on the shortest text of a double, as the column function rounds."""
+    out = np.round(values, digits)
+    scaled = np.abs(values) * 10.0**digits
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):  # near ties only
+        step = Decimal(1).scaleb(-digits)
+        out[i] = float(Decimal(repr(float(values[i]))).quantize(step, ROUND_HALF_UP))
+    return out
+
+
 def raw_levels(outputs: np.ndarray, level: np.ndarray, fits: np.ndarray, cfg: EngineConfig) -> tuple[np.ndarray, np.ndarray]:
     """Severity 0..2 of each output and whether health itself triggered it."""
     n, slope, residual, sxx = fits.T
@@ -98,7 +110,7 @@ def raw_levels(outputs: np.ndarray, level: np.ndarray, fits: np.ndarray, cfg: En
         error = residual * np.sqrt(n / np.maximum(n - 2, 1)) / np.sqrt(sxx)
         significant = np.abs(slope / error) >= cfg.slope_z
     z = np.where(np.isnan(slope), NO_RISK, z)
-    p = np.array([math.floor(0.5e4 * math.erfc(-v / math.sqrt(2.0)) + 0.5) / 1e4 for v in z])
+    p = decimals(normal_cdf_values(z), 4)
     settled = outputs - (cfg.min_points - 1) >= cfg.settle_fits
     trusted = np.isnan(slope) | (settled & significant)
     failed, inspect = level <= cfg.health_failed, level <= cfg.health_inspect

@@ -38,7 +38,7 @@ STATE_SCHEMA = (
 )
 EMPTY_STATE = (-(1 << 62), 0, 0, 0.0, 0.0, [], [], [], [], 0, 0, 0, [], [])
 OUTPUT_SCHEMA = (
-    "asset_id string, ts timestamp, status string, vibration double, current double, temperature double, "
+    "asset_id string, ts timestamp, status string, reason string, vibration double, current double, temperature double, "
     "tick long, score double, health_raw double, output long, level double, n_fit long, slope double, "
     "residual double, sxx double, by_health boolean, streak int, held int, "
     + ", ".join(f"{f} double" for f in FEATURES)
@@ -66,10 +66,14 @@ class MonitorProcessor(StatefulProcessor):
         waiting = [np.array(s["pending"], dtype=float).reshape(-1, len(PENDING_COLUMNS))]
         waiting_ts = [np.array(s["pending_ts"], dtype=np.int64)]
         for batch in rows:
+            no_place = batch["ts"].isna() | (key[0] is None)
+            if no_place.any():
+                yield from self._without_place(key[0], batch[no_place])
+            batch = batch[~no_place]
             ts = batch["ts"].to_numpy("datetime64[us]").astype(np.int64)
             late = ts <= s["last_ts"]
             if late.any():
-                yield self._side(key[0], batch[list(SENSORS)].to_numpy(float)[late], ts[late], LATE)
+                yield self._side(key[0], batch[list(SENSORS)].to_numpy(float)[late], ts[late], LATE, "behind the last handled reading")
             waiting.append(batch[list(PENDING_COLUMNS)].to_numpy(float)[~late])
             waiting_ts.append(ts[~late])
         yield from self._release(key[0], s, np.concatenate(waiting), np.concatenate(waiting_ts), watermark)
@@ -82,6 +86,14 @@ class MonitorProcessor(StatefulProcessor):
 
     # -- one asset ---------------------------------------------------------
 
+    def _without_place(self, asset: str | None, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Rows without an asset or a time are set aside as they came."""
+        side = self._side(asset, batch[list(SENSORS)].to_numpy(float), np.zeros(len(batch), np.int64), INVALID, "no asset")
+        side["ts"] = batch["ts"].to_numpy()
+        if asset is not None:
+            side["reason"] = "no time"
+        yield side
+
     def _load(self) -> dict:
         names = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
         return dict(zip(names, self.state.get() if self.state.exists() else EMPTY_STATE))
@@ -109,7 +121,9 @@ class MonitorProcessor(StatefulProcessor):
             v, c, t = values[:, 0], values[:, 1], values[:, 2]
             ok = (v >= MIN_VIBRATION) & (c >= MIN_CURRENT) & (t > TEMPERATURE_ABOVE) & (t < TEMPERATURE_BELOW)
             if not ok.all():
-                out.append(self._side(asset, values[~ok, :3], ts[~ok], INVALID))
+                missing = np.isnan(values[~ok, :3]).any(axis=1)
+                why = np.where(missing, "missing sensor", "impossible reading")
+                out.append(self._side(asset, values[~ok, :3], ts[~ok], INVALID, why))
             values, ts = values[ok], ts[ok]
         return out + (self._predict(asset, s, values, ts) if len(ts) else [])
 
@@ -123,11 +137,14 @@ class MonitorProcessor(StatefulProcessor):
         if len(readings) < n:
             return []
         features, usable = kernel.rolling_features(readings, n)
-        usable &= np.isfinite(features).all(axis=1)  # never scored, never fatal to the stream
-        rows = np.arange(len(ts))[-len(features) :][usable]
-        features = features[usable]
+        finite = np.isfinite(features).all(axis=1)  # others are never scored, never fatal to the stream
+        rows = np.arange(len(ts))[-len(features) :]
+        bad = rows[usable & ~finite]
+        aside = [self._side(asset, values[bad, :3], ts[bad], INVALID, "non-finite feature")] if len(bad) else []
+        usable &= finite
+        rows, features = rows[usable], features[usable]
         if not len(rows):
-            return []
+            return aside
         score = self.scorer(features)
         mean, std = values[rows, 3], values[rows, 4]
         health = 100.0 * (1.0 - np.clip((mean - score) / (cfg.health_spread * std), 0.0, 1.0))
@@ -138,7 +155,7 @@ class MonitorProcessor(StatefulProcessor):
         seeds = s["seeds"] + health[:missing].tolist()
         s["seeds"] = seeds if len(seeds) < cfg.seed_readings else []
         if s["emissions"] < cfg.seed_readings:
-            return []
+            return aside
         levels: list[float] = []
         if missing:
             s["level"], s["variance"] = float(np.mean(seeds)), cfg.measurement_var
@@ -168,15 +185,15 @@ class MonitorProcessor(StatefulProcessor):
         out["streak"], out["held"] = zip(*held)
         for j, name in enumerate(FEATURES):
             out[name] = features[-len(level) :, j]
-        return [out[OUTPUT_COLUMNS]]
+        return [out[OUTPUT_COLUMNS], *aside]
 
-    def _frame(self, asset: str, sensors: np.ndarray, ts: np.ndarray, status: str) -> pd.DataFrame:
+    def _frame(self, asset: str | None, sensors: np.ndarray, ts: np.ndarray, status: str, reason=None) -> pd.DataFrame:
         out = pd.DataFrame(sensors, columns=list(SENSORS))
-        out["asset_id"], out["ts"], out["status"] = asset, pd.to_datetime(ts, unit="us"), status
+        out["asset_id"], out["ts"], out["status"], out["reason"] = asset, pd.to_datetime(ts, unit="us"), status, reason
         return out
 
-    def _side(self, asset: str, sensors: np.ndarray, ts: np.ndarray, status: str) -> pd.DataFrame:
-        out = self._frame(asset, sensors, ts, status).reindex(columns=OUTPUT_COLUMNS)
+    def _side(self, asset: str | None, sensors: np.ndarray, ts: np.ndarray, status: str, reason) -> pd.DataFrame:
+        out = self._frame(asset, sensors, ts, status, reason).reindex(columns=OUTPUT_COLUMNS)
         for c in ("tick", "output", "n_fit", "streak", "held"):
             out[c] = out[c].astype("Int64" if c not in ("streak", "held") else "Int32")
         out["by_health"] = out["by_health"].astype("boolean")
@@ -192,14 +209,13 @@ def monitor_stream(
     calibration: str = "auto",
     scorer: Any = None,
 ) -> DataFrame:
-    """Streaming rows with ``status``: prediction, late or invalid.
+    """Streaming rows with ``status``: prediction, late or invalid, the last two with a ``reason``.
 
     Needs the RocksDB state store provider (see ``state_store``). ``scorer``
     replaces the forest by any function on a feature array.
     """
     values = [nan_to_null(F.col(c)).alias(c) for c in SENSORS]
-    prepared = readings.select("asset_id", "ts", *values).filter(F.col("ts").isNotNull() & F.col("asset_id").isNotNull())
-    anchored = pick_calibration(prepared, model.pooled_row, model.local, calibration)
+    anchored = pick_calibration(readings.select("asset_id", "ts", *values), model.pooled_row, model.local, calibration)
     # The operator gets a plain copy of the time: on the watermarked column
     # itself Spark drops late rows silently, and they are to be reported.
     anchored = anchored.withColumn("event_time", F.col("ts")).withWatermark("event_time", delay)
@@ -215,7 +231,7 @@ def monitor_stream(
 
 def finish(rows: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calibration: str = "auto") -> DataFrame:
     """Predictions of ``monitor_stream`` rows in the batch output form."""
-    d = rows.filter(F.col("status") == PREDICTION).drop("status")
+    d = rows.filter(F.col("status") == PREDICTION).drop("status", "reason")
     d = d.withColumn("slope", nan_to_null(F.col("slope"))).withColumn("residual", nan_to_null(F.col("residual")))
     d = policy.add_recommendation(add_forecast(d, "output", cfg), cfg)
     decided = policy.report_levels(d, cfg)
@@ -259,7 +275,7 @@ def start(
                 f"{output}/predictions/{place}"
             )
             for status in (LATE, INVALID):
-                side = batch.filter(F.col("status") == status).select("asset_id", "ts", *SENSORS)
+                side = batch.filter(F.col("status") == status).select("asset_id", "ts", *SENSORS, "reason")
                 side.write.mode("overwrite").parquet(f"{output}/{status}/{place}")
         finally:
             batch.unpersist()

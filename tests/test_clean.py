@@ -103,6 +103,20 @@ def test_new_rows_and_split(spark):
     assert (semi.count(), anti.count()) == (3, 8)
 
 
+def test_split_keeps_every_row(spark):
+    """Rows without a time or an asset, shared times, and several hours."""
+    from dataclasses import replace
+
+    from fleetpulse.sources.readings import READING_SCHEMA
+
+    df = readings(spark, {"a": [(1.0, 1.0, 1.0)] * 200, "b": [(1.0, 1.0, 1.0)] * 3})
+    odd = [(None, minute(i), 1.0, 1.0, 1.0) for i in range(70)] + [("a", None, 1.0, 1.0, 1.0)] * 2 + [("a", minute(64), 2.0, 1.0, 1.0)]
+    df = df.unionByName(spark.createDataFrame(odd, READING_SCHEMA))
+    first, rest = clean.split_commissioning(df, replace(clean.DEFAULT, commissioning_rows=65))
+    counts = [{r["asset_id"]: r["count"] for r in d.groupBy("asset_id").count().collect()} for d in (first, rest)]
+    assert counts == [{"a": 66, "b": 3, None: 65}, {"a": 137, None: 5}]
+
+
 def test_pages_lose_no_shared_timestamps(spark):
     df = readings(spark, {a: [(1.0, 1.0, 1.0)] * 3 for a in "abcd"})
     pages = [page.collect() for page in sources.read_pages(df, limit=3)]

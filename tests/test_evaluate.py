@@ -29,6 +29,24 @@ def test_known_metrics(spark):
     assert [r[0] for r in edges.collect()] == [0, 6, 9]
 
 
+def test_repeated_label_fails_and_columns_stay(spark):
+    at = minute(1)
+    flat = spark.createDataFrame([("a", at, 1.0)], "asset_id string, ts timestamp, x double")
+    schema = "asset_id string, ts timestamp, health_status string, next_critical timestamp"
+    labels = spark.createDataFrame([("a", at, "normal", at), ("b", at, "normal", at)], schema)
+    assert evaluate.align_labels(flat, labels).first()["next_critical"] == at
+    twice = labels.unionByName(labels.filter("asset_id = 'a'"))
+    with pytest.raises(Exception, match="not one to one"):
+        evaluate.align_labels(flat, twice).collect()
+
+
+def test_ranking_beyond_the_reach(spark):
+    y, p = [1, 0, 1, 0, 1, 0], [900.0, 800.0, 3.5, -70.0, -80.0, -90.0]
+    got = evaluate.ranking_metrics(rows(spark, y, p), "y", "p").first()
+    pairs = [(a > b) for a, u in zip(p, y) if u for b, v in zip(p, y) if not v]
+    assert got["roc_auc"] == pytest.approx(sum(pairs) / len(pairs))
+
+
 def test_ranking_by_pairs(spark):
     rng = np.random.default_rng(0)
     y, p = rng.integers(0, 2, 400), np.round(rng.random(400), 2)

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse.config import DEFAULT, FEATURES, EngineConfig
-from fleetpulse.functions.columns import nan_to_null, normal_cdf, sensor_label, sensor_of
+from fleetpulse.functions.columns import nan_to_null, normal_cdf, normal_cdf_values, sensor_label, sensor_of
 from fleetpulse.operators.smooth import gain_table
 
 
@@ -40,3 +42,16 @@ def test_config():
         EngineConfig(confirm_ticks=20)
     assert EngineConfig(window_rows=12).feature_hash() != DEFAULT.feature_hash()
     assert EngineConfig(seed=1).feature_hash() == DEFAULT.feature_hash()
+
+
+def test_filter_settings_are_checked():
+    with pytest.raises(ValueError, match="above 0"):
+        replace(DEFAULT, process_var=0.0)
+    with pytest.raises(ValueError, match="not steady"):
+        gain_table(replace(DEFAULT, process_var=1e-12))
+
+
+def test_normal_cdf_is_one_formula(spark):
+    z = np.linspace(-40.0, 9.0, 400)
+    rows = spark.createDataFrame([(float(v),) for v in z], "z double").select(normal_cdf("z").alias("p")).collect()
+    np.testing.assert_allclose([r["p"] for r in rows], normal_cdf_values(z), rtol=1e-13)
