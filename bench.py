@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession
 
 from fleetpulse.catalog.queries import QUERIES
-from fleetpulse.session import ship, tune
+from fleetpulse.session import discard_all, ship, tune
 
 HEADLINE = (
     "clean_readings",
@@ -55,6 +55,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
+        discard_all(spark)
     result = {
         "metric": "headline_total",
         "value": round(sum(seconds.values()), 3),
