@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from fleetpulse.llm import jaccard
 from fleetpulse.llm.common import DOCUMENT_COLUMNS, key_runs, small_batches, table
 from fleetpulse.llm.components import connected
 from fleetpulse.session import materialize, ship
@@ -224,10 +225,14 @@ def groups(docs: DataFrame, id_col: str, fp_col: str = "fp") -> DataFrame:
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: that with the smallest id, and of rows that share it the first written."""
-    printed = with_fingerprints(docs.select(*DOCUMENT_COLUMNS)).withColumn("row", F.monotonically_increasing_id())
-    printed = materialize(printed, "fingerprints")  # pins the row numbers
-    grouped = printed.select("doc_id", "row", "fp").join(groups(printed.select("doc_id", "fp"), "doc_id"), "fp")
+    """One document of each group stays: that with the smallest id, and of rows that share it the first written.
+
+    Groups are those of ``jaccard``; the fingerprints and bits above are the contract of op4 only.
+    """
+    documents = docs.select(*DOCUMENT_COLUMNS)
+    printed = jaccard.with_prefixes(documents, jaccard.common_hashes(documents)).withColumn("row", F.monotonically_increasing_id())
+    printed = materialize(printed, "prefixes")  # pins the row numbers
+    grouped = printed.select("doc_id", "row", "sig").join(jaccard.groups(printed), "sig")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"))
     first = grouped.groupBy("root").agg(F.min(order).alias("keep")).select(F.col("keep.row").alias("row"))
     return printed.join(first, "row", "left_semi").select(*DOCUMENT_COLUMNS)
