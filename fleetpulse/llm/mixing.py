@@ -108,13 +108,18 @@ def mix_sources(
         .withColumn("block_key", order_key(mix, F.col("source"), F.col("block"), F.col("whole")))
         .withColumn("upto", F.sum("tokens").over(in_last))
     )
-    last = blocks.select(
-        F.col("source").alias("of"), "block", (F.col("upto") - F.col("tokens")).alias("before"),
-        (F.col("upto") <= F.col("rest")).alias("fits"), ((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") < F.col("rest"))).alias("straddles"),
-    ).filter("fits OR straddles")
+    # Blocks fit in the order of their keys, so one key a source says which do; no document is shuffled to learn it.
+    fits, straddles = F.col("upto") <= F.col("rest"), (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") < F.col("rest"))
+    last = blocks.groupBy(F.col("source").alias("in_source")).agg(
+        F.max(F.when(fits, F.col("block_key"))).alias("fit_key"), F.max(F.when(straddles, F.col("block"))).alias("edge"),
+        F.max(F.when(straddles, F.col("upto") - F.col("tokens"))).alias("before"),
+    )
+    last = materialize(last, "mix-last")
     drawn = keyed.join(plan, same).drop("of")
     full = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
-    tail = drawn.join(last.withColumnRenamed("block", "in_block"), same & (F.col("block") == F.col("in_block"))).withColumn("epoch", F.col("whole"))
+    tail = drawn.join(last, F.col("source").eqNullSafe(F.col("in_source"))).withColumn("epoch", F.col("whole"))
+    tail = tail.withColumn("fits", order_key(mix, F.col("source"), F.col("block"), F.col("whole")) <= F.col("fit_key"))
+    tail = tail.withColumn("straddles", F.col("block") == F.col("edge"))
     cut = W.partitionBy("source", "block").orderBy("doc_key", F.xxhash64("doc", "tokens"))
     tail = tail.withColumn("doc_key", order_key(mix, F.col("doc"), F.col("epoch")))
     names = ["row", "source", "doc", "tokens", "block", "epoch", "weight", "exponent", "budget"]
@@ -128,8 +133,14 @@ def mix_sources(
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents once per epoch they are drawn in."""
-    return mix_sources(docs.select(*DOCUMENT_COLUMNS)).select("row.*")
+    """Documents once per epoch they are drawn in, in their permuted order.
+
+    The order keys are hashes, so ranges of them cut every source and block
+    alike; an epoch is over before the next begins.
+    """
+    order = ["epoch", "block_key", "doc_key"]
+    drawn = mix_sources(docs.select(*DOCUMENT_COLUMNS)).select("row", *order)
+    return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

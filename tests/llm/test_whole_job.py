@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from fleetpulse.llm import jaccard, simhash
+from fleetpulse.llm import jaccard, mixing, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +52,14 @@ def test_near_dedup_links_all_texts_of_similar_words(spark, monkeypatch, bucket)
     assert far > 10  # links that three bits would miss
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     assert {r.doc_id for r in simhash.near_dedup_stage(spark, docs, "").collect()} == {find(i) for i in range(len(texts))}
+
+
+def test_mixing_stage_follows_the_permuted_epochs(spark):
+    rows = [(i, f"text {i} " * 40, "en", "big", 1) for i in range(120)] + [(200 + i, f"small {i}", "en", "small", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix_sources(docs).select("doc", "epoch", "block_key", "doc_key").collect()
+    assert max(r.epoch for r in mixed) == 3  # the small source is drawn four times
+    want = [r.doc for r in sorted(mixed, key=lambda r: (r.epoch, r.block_key, r.doc_key))]
+    got = [r.doc_id for r in mixing.mixing_stage(spark, docs, "").collect()]
+    assert got == want
+    assert all(a != b for a, b in zip(got, got[1:]))
