@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetpulse.llm import ann, line_dedup, mixing, packing, quality, simhash, substring_dedup, toxicity, url_rules, warc
+from fleetpulse.llm import (
+    ann, filter_audit, line_dedup, mixing, packing, pivot_search, quality, simhash, substring_dedup, toxicity, url_rules, warc, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": warc.op1_warc_revisits,
@@ -19,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_url_rules": url_rules.op9_url_rules,
     "op10_line_windows": line_dedup.op10_line_windows,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_pivot_search": pivot_search.op12_pivot_search,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +32,6 @@ ORACLES: dict[str, str] = {
     "op8_quality_rules": quality.oracle_sql(),
     "op9_url_rules": url_rules.oracle_sql(),
     "op10_line_windows": line_dedup.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op12_pivot_search": pivot_search.ORACLE,
 }
