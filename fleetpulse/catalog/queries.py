@@ -444,7 +444,7 @@ def evaluation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.evaluate(flat, labelled).select("section", "metric", six("value"))
 
 
-# -- with the fitted forest (no SQL counterpart) ---------------------------
+# -- with the fitted forest ------------------------------------------------
 
 
 def forest_fit_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -454,12 +454,13 @@ def forest_fit_score(spark: SparkSession, sf: str) -> DataFrame:
 
 def training_summary(spark: SparkSession, sf: str) -> DataFrame:
     model, features = _trained(spark, sf)
-    return health_summary(monitoring.score(features, model))
+    rows = health_summary(monitoring.score(features, model))
+    return rows.select("asset_id", "n_rows", *[rounded(F.col(c), 9).alias(c) for c in ("health_min", "health_max")], six("health_mean"))
 
 
 def monitor_batch(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = _trained(spark, sf)
-    return monitoring.flatten_predictions(monitoring.monitor_batch(_events(spark, sf), model)).withColumn("ts", stamp())
+    return _log_form(monitoring.flatten_predictions(monitoring.monitor_batch(_events(spark, sf), model)))
 
 
 def recalibrate_rated(spark: SparkSession, sf: str) -> DataFrame:
@@ -483,7 +484,7 @@ def recalibrate_fleet(spark: SparkSession, sf: str) -> DataFrame:
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = _trained(spark, sf)
     labelled = _events(spark, sf, labelled=True)
-    return evaluation.evaluate(evaluation.replay(labelled, model), labelled)
+    return evaluation.evaluate(evaluation.replay(labelled, model), labelled).select("section", "metric", six("value"))
 
 
 def permutation_importance(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,18 +1,24 @@
 """Isolation forest (Liu, Ting and Zhou 2008): sampling, building, scoring.
 
-Fitting draws a bounded sample per tree by hashing row identity, so it is the
-same for any partitioning and costs one filtered pass; the trees are then built
-in parallel, one small group per tree.  A fitted forest is at most
-n_trees * 511 nodes whatever the data size, which is why it may be collected
-and broadcast.  Scoring is one Arrow-batched UDF over the feature columns.
+Nothing is drawn from a generator's state.  A tree's sample is the ``tree_sample``
+rows of smallest rank, where the rank is a linear hash of the row's own hash with
+two numbers of the tree; the feature and the threshold of a node are hashes of
+(seed, tree, place of the node).  So the forest follows from the rows alone,
+whatever their partitioning, and plain SQL can build it again.
+
+The trees are built in parallel, one small group per tree.  A fitted forest is
+at most n_trees * 511 nodes whatever the data size, which is why it may be
+collected and broadcast.  Scoring is one Arrow-batched UDF over the feature
+columns.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import zlib
 from collections.abc import Sequence
-from math import ceil, log2
+from math import ceil, log2, sqrt
 
 import numpy as np
 import pandas as pd
@@ -21,6 +27,7 @@ from pyspark.sql.types import DoubleType
 
 from fleetpulse.config import DEFAULT, FEATURES, EngineConfig
 from fleetpulse.functions.columns import all_of
+from fleetpulse.session import discard, materialize
 
 NODE_SCHEMA = (
     "tree_id int, node_id int, feature int, threshold double, left int, right int, n_samples int, depth int"
@@ -28,6 +35,9 @@ NODE_SCHEMA = (
 EULER_GAMMA = 0.5772156649015329
 LEAF = -1
 SCORE_BATCH = 4096
+PRIME = (1 << 31) - 1
+#: Values of a node that lie apart by less, absolutely or by their size, count as equal.
+APART = 1e-9
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -41,57 +51,86 @@ def expected_path(n: np.ndarray | float) -> np.ndarray:
 # -- fit ------------------------------------------------------------------
 
 
+def draw(text: str) -> int:
+    """Whole number below 2^52 from the first 13 hexadecimal digits of the text's MD5."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+
+
+def uniform(text: str) -> float:
+    return draw(text) / float(1 << 52)
+
+
+def row_hash() -> Column:
+    """Number of a row below PRIME, from its asset and time."""
+    text = F.concat_ws("|", F.col("asset_id"), F.unix_micros(F.col("ts")).cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
+
+
+def tree_hashes(seed: int, n_trees: int) -> list[tuple[int, int]]:
+    """The two numbers of each tree: rank = (row hash * first + second) mod PRIME."""
+    return [(1 + draw(f"{seed}|scale|{t}") % (PRIME - 1), draw(f"{seed}|shift|{t}") % PRIME) for t in range(n_trees)]
+
+
+def ranked_below(reference: DataFrame, below: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """(tree_id, rank, asset_id, ts, features): rows whose rank in a tree is below a bound."""
+    first, second = (F.lit(list(numbers)) for numbers in zip(*tree_hashes(cfg.seed, cfg.n_trees)))
+
+    def rank(tree: Column) -> Column:
+        return F.pmod(F.col("row_hash") * F.get(first, tree) + F.get(second, tree), F.lit(PRIME))
+
+    rows = reference.select("asset_id", "ts", row_hash().alias("row_hash"), *FEATURES)
+    trees = F.filter(F.sequence(F.lit(0), F.lit(cfg.n_trees - 1)), lambda t: rank(t) < below)
+    dealt = rows.withColumn("tree_id", F.explode(trees))
+    return dealt.select("tree_id", rank(F.col("tree_id")).alias("rank"), "asset_id", "ts", *FEATURES)
+
+
 def tree_samples(reference: DataFrame, n_rows: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Rows dealt to trees: about twice ``tree_sample`` distinct rows per tree.
+    """Rows that hold each tree's sample: its ``tree_sample`` smallest ranks, for every number of rows.
 
-    Each row lands in a tree independently with the same probability, so the
-    smallest ``tree_sample`` hashes inside a tree are a uniform draw without
-    replacement.  The output size depends on the forest, not on ``reference``.
+    Ranks are uniform, so a bound on the rank leaves every tree its sample and
+    about half as many rows again, and no task emits what cannot be among them;
+    a row asks 200 cheap numbers and is not shuffled unless it is near one.
+    The table is written and counted; should a tree be short after all, the
+    bound is doubled until none is, which changes no sample.
+    """
+    wanted = min(cfg.tree_sample, n_rows)
+    share = (wanted + 10 * sqrt(wanted) + 20) / n_rows
+    while True:
+        below = min(PRIME, ceil(PRIME * share))
+        dealt = materialize(ranked_below(reference, below, cfg), "tree-samples")
+        counts = dealt.groupBy("tree_id").count().agg(F.count("*"), F.min("count")).first()
+        if below == PRIME or (counts[0] == cfg.n_trees and counts[1] >= wanted):
+            return dealt
+        discard(dealt)
+        share *= 2
+
+
+def grow_tree(values: np.ndarray, key: str, max_depth: int) -> list[tuple]:
+    """Random splits level by level until rows are alone, alike, or ``max_depth`` deep.
+
+    Node 0 is the root, the children of node i are 2i + 1 and 2i + 2.  A feature
+    can split a node if its values lie apart by more than rounding.
     """
-    seed, trees = F.lit(cfg.seed), cfg.n_trees
-    wanted = 2 * trees * cfg.tree_sample
-    identity = [F.col("asset_id"), F.col("ts")]
-    rows = reference.select("asset_id", "ts", *FEATURES)
-    copies = ceil(wanted / max(n_rows, 1))
-    if n_rows > wanted:
-        unit = F.pmod(F.xxhash64(seed, F.lit("draw"), *identity), F.lit(1 << 40)) / float(1 << 40)
-        rows = rows.filter(unit < wanted / n_rows)
-        copies = 1
-    if 2 * copies > trees:
-        dealt = rows.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    else:
-        dealt = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        tree = F.pmod(F.xxhash64(seed, F.lit("deal"), F.col("copy"), *identity), F.lit(trees))
-        dealt = dealt.withColumn("tree_id", tree.cast("int")).drop("copy")
-        dealt = dealt.dropDuplicates(["tree_id", "asset_id", "ts"])
-    rank = F.xxhash64(seed, F.lit("rank"), F.col("tree_id"), *identity)
-    return dealt.select("tree_id", rank.alias("rank"), *FEATURES)
-
-
-def grow_tree(values: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """Random splits until rows are alone, alike, or ``max_depth`` deep."""
-    nodes: list[list] = []
-    todo = [(np.arange(len(values)), 0, -1, False)]
-    while todo:
-        rows, depth, parent, is_right = todo.pop()
-        node = len(nodes)
-        if parent >= 0:
-            nodes[parent][4 if is_right else 3] = node
-        nodes.append([node, LEAF, 0.0, LEAF, LEAF, len(rows), depth])
-        if depth >= max_depth or len(rows) <= 1:
-            continue
-        here = values[rows]
-        low, high = here.min(axis=0), here.max(axis=0)
-        usable = np.flatnonzero(high > low)
-        if usable.size == 0:
-            continue
-        feature = int(rng.choice(usable))
-        threshold = float(rng.uniform(low[feature], high[feature]))
-        goes_left = here[:, feature] <= threshold
-        nodes[node][1], nodes[node][2] = feature, threshold
-        todo.append((rows[~goes_left], depth + 1, node, True))
-        todo.append((rows[goes_left], depth + 1, node, False))
-    return [tuple(n) for n in nodes]
+    nodes: list[tuple] = []
+    level = [(0, np.arange(len(values)))]
+    for depth in range(max_depth + 1):
+        below = []
+        for node, rows in level:
+            here = values[rows]
+            usable = np.zeros(0, dtype=int)
+            if depth < max_depth and len(rows) > 1:
+                low, high = here.min(axis=0), here.max(axis=0)
+                usable = np.flatnonzero(high - low > APART * np.maximum(1.0, np.maximum(np.abs(low), np.abs(high))))
+            if not usable.size:
+                nodes.append((node, LEAF, 0.0, LEAF, LEAF, len(rows), depth))
+                continue
+            feature = int(usable[int(uniform(f"{key}|{node}|feature") * usable.size)])
+            threshold = float(low[feature] + uniform(f"{key}|{node}|threshold") * (high[feature] - low[feature]))
+            left = here[:, feature] <= threshold
+            nodes.append((node, feature, threshold, 2 * node + 1, 2 * node + 2, len(rows), depth))
+            below += [(2 * node + 1, rows[left]), (2 * node + 2, rows[~left])]
+        level = below
+    return nodes
 
 
 def fit_forest(reference: DataFrame, n_rows: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -104,10 +143,9 @@ def fit_forest(reference: DataFrame, n_rows: int, cfg: EngineConfig = DEFAULT) -
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         tree_id = int(key[0])
-        chosen = group.sort_values("rank").head(sample)[list(FEATURES)].to_numpy(float)
-        nodes = grow_tree(chosen, np.random.default_rng([seed, tree_id]), max_depth)
+        chosen = group.sort_values(["rank", "asset_id", "ts"]).head(sample)[list(FEATURES)].to_numpy(float)
         columns = ["node_id", "feature", "threshold", "left", "right", "n_samples", "depth"]
-        built = pd.DataFrame(nodes, columns=columns)
+        built = pd.DataFrame(grow_tree(chosen, f"{seed}|{tree_id}", max_depth), columns=columns)
         built.insert(0, "tree_id", tree_id)
         return built
 

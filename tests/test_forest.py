@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,10 @@ from dataclasses import replace
 
 from fleetpulse.catalog.queries import fixed_nodes
 from fleetpulse.config import DEFAULT, FEATURES
-from fleetpulse.operators.forest import PackedForest, expected_path, finite_features, fit_forest, score_rows, tree_samples
+from fleetpulse.operators import forest
+from fleetpulse.operators.forest import (
+    PRIME, PackedForest, expected_path, finite_features, fit_forest, grow_tree, score_rows, tree_hashes, tree_samples, uniform,
+)
 from fleetpulse.operators.health import calibrate, health_from_score, pick_calibration
 from helpers import minute
 
@@ -51,13 +56,80 @@ def test_packed_scores_equal_walk(spark):
     np.testing.assert_allclose(PackedForest(fixed).score(x)[:40], [walk(fixed, r) for r in x[:40]], atol=1e-12)
 
 
-@pytest.mark.parametrize("n", [150, 3000, 30000])
-def test_every_tree_gets_a_full_distinct_sample(spark, n):
+@pytest.mark.parametrize("n", [1, 150, 256, 3000, 30000])
+def test_every_tree_gets_the_smallest_ranks(spark, n):
     cfg = replace(DEFAULT, n_trees=20)
-    counts = tree_samples(feature_rows(spark, n), n, cfg).groupBy("tree_id").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d"))
-    rows = counts.collect()
-    assert len(rows) == 20
-    assert all(r["n"] == r["d"] and r["n"] >= min(256, n) for r in rows)
+    df = feature_rows(spark, n)
+    got = tree_samples(df, n, cfg).select("tree_id", "rank", "asset_id", "ts").toPandas()
+    hashes = np.array([int(hashlib.md5(f"a{i % 3}|{int(pd.Timestamp(minute(i)).value // 1000)}".encode()).hexdigest()[:8], 16) % PRIME for i in range(n)])
+    for t, (a, b) in enumerate(tree_hashes(cfg.seed, cfg.n_trees)):
+        ranks = np.sort((hashes * a + b) % PRIME)
+        mine = np.sort(got.loc[got.tree_id == t, "rank"].to_numpy())
+        k = min(256, n)
+        assert len(mine) >= k and (mine[:k] == ranks[:k]).all()
+        assert len(mine) < 2.5 * k + 60  # the bound leaves little that is not sampled
+
+
+def test_a_bound_that_is_too_low_is_doubled(spark, monkeypatch):
+    cfg = replace(DEFAULT, n_trees=5)
+    df = feature_rows(spark, 2000)
+    want = forest.tree_samples(df, 2000, cfg).toPandas()
+    monkeypatch.setattr(forest, "sqrt", lambda x: -0.09 * x)  # far too few
+    got = forest.tree_samples(df, 2000, cfg).toPandas()
+    for t in range(5):
+        a, b = (np.sort(x.loc[x.tree_id == t, "rank"])[:256] for x in (want, got))
+        assert (a == b).all() and len(a) == 256
+
+
+def test_samples_are_uniform_and_independent(spark):
+    """Every row is drawn equally often, and by pairs of trees as independent draws would."""
+    cfg = replace(DEFAULT, n_trees=200)
+    n, k = 4000, 256
+    got = tree_samples(feature_rows(spark, n), n, cfg).select("tree_id", "rank", "asset_id", "ts").toPandas()
+    chosen = got.sort_values(["rank", "asset_id", "ts"]).groupby("tree_id").head(k)
+    times = chosen.groupby("ts").size().reindex([minute(i) for i in range(n)], fill_value=0).to_numpy()
+    want = cfg.n_trees * k / n
+    chi = ((times - want) ** 2 / (want * (1 - k / n))).sum()
+    assert abs(chi - n) < 6 * np.sqrt(2 * n)
+    sets = [set(g.ts) for _, g in chosen.groupby("tree_id")]
+    shared = np.array([len(a & b) for i, a in enumerate(sets) for b in sets[:i]])
+    assert abs(shared.mean() - k * k / n) < 0.5 and shared.max() < 60
+
+
+def test_nodes_follow_from_the_rows(spark):
+    """Level-wise places, draws and splits against a recursive build."""
+    cfg = replace(DEFAULT, n_trees=3, tree_sample=40)
+    df = feature_rows(spark, 90)
+    nodes = {(r.tree_id, r.node_id): r for r in fit_forest(df, 90, cfg).collect()}
+    sampled = tree_samples(df, 90, cfg).toPandas()
+    seen = set()
+
+    def check(tree, node, rows, depth):
+        seen.add((tree, node))
+        mine = nodes[tree, node]
+        assert (mine.n_samples, mine.depth) == (len(rows), depth)
+        spread = [j for j in range(rows.shape[1]) if len(rows) > 1 and rows[:, j].max() > rows[:, j].min()]
+        if depth == 6 or not spread:
+            assert mine.feature == -1
+            return
+        j = spread[int(uniform(f"42|{tree}|{node}|feature") * len(spread))]
+        cut = rows[:, j].min() + uniform(f"42|{tree}|{node}|threshold") * (rows[:, j].max() - rows[:, j].min())
+        assert (mine.feature, mine.threshold, mine.left, mine.right) == (j, cut, 2 * node + 1, 2 * node + 2)
+        check(tree, 2 * node + 1, rows[rows[:, j] <= cut], depth + 1)
+        check(tree, 2 * node + 2, rows[rows[:, j] > cut], depth + 1)
+
+    for t in range(3):
+        own = sampled[sampled.tree_id == t].sort_values(["rank", "asset_id", "ts"]).head(40)
+        check(t, 0, own[list(FEATURES)].to_numpy(), 0)
+    assert seen == set(nodes)
+
+
+def test_values_that_differ_by_rounding_do_not_split():
+    x = np.ones((5, 3))
+    x[:, 1] += np.arange(5) * 1e-16
+    x[:, 2] = np.arange(5)
+    assert {n[1] for n in grow_tree(x, "42|0", 3)} <= {2, -1}
+    assert grow_tree(x[:, :2], "42|0", 3) == [(0, -1, 0.0, -1, -1, 5, 0)]
 
 
 def test_outliers_rank_lowest_and_seed_decides(spark):
