@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import replace
+from itertools import islice
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,10 +15,10 @@ from fleetpulse.config import FEATURES, SENSORS
 from fleetpulse.operators import clean, diagnostics
 from fleetpulse.operators.forest import finite_features, score_rows
 from fleetpulse.operators.health import calibrate
-from fleetpulse.plans import monitoring
+from fleetpulse.plans import evaluation, monitoring
 from fleetpulse.plans.building import build_features
 from fleetpulse.session import materialize, scratch_folder
-from fleetpulse.sources import readings as sources, registry, signature
+from fleetpulse.sources import polling, readings as sources, registry, signature
 
 DAY_FIRST = "dd.MM.yyyy HH:mm:ss.SSSSSS"
 
@@ -38,13 +41,81 @@ def csv_day_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def csv_iso(spark: SparkSession, sf: str) -> DataFrame:
-    """Unlabelled CSV of one asset with ISO times."""
+    """Unlabelled CSV with ISO times, one folder for each asset, which names it."""
     folder = scratch_folder(spark, "csv")
-    own = Q._events(spark, sf).filter(F.col("asset_id") == "view")
-    own.select(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(sources.RAW_TIME), *[F.col(s).alias(c) for s, c in sources.RAW_SENSORS.items()]
-    ).write.option("header", True).csv(folder)
-    return sources.read_csv(spark, folder, "view").select("asset_id", Q.stamp(), *[Q.six(s) for s in SENSORS])
+    Q._events(spark, sf).select(
+        "asset_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(sources.RAW_TIME), *[F.col(s).alias(c) for s, c in sources.RAW_SENSORS.items()]
+    ).write.option("header", True).partitionBy("asset_id").csv(folder)
+    return sources.read_csv(spark, folder).select("asset_id", Q.stamp(), *[Q.six(s) for s in SENSORS])
+
+
+def csv_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line of a damaged CSV, read or rejected: its outcome and the raw text that could not be read."""
+    folder, t = scratch_folder(spark, "csv"), F.col("temperature")
+    header = ["asset_id", sources.RAW_TIME, *sources.RAW_SENSORS.values()]
+    fields = [
+        F.col("asset_id"),
+        F.when(t == 57, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+        F.col("vibration").cast("string"), F.when(t > 58, F.lit("n/a")).otherwise(F.col("current").cast("string")), t.cast("string"),
+    ]
+    lines = F.concat_ws(",", *fields, F.when(t == 30, F.lit("one field more")))
+    Q._events(spark, sf).select(lines.alias(",".join(header))).write.option("header", True).option("sep", "\u0001").csv(folder)
+    read, rejected = sources.read_csv_checked(spark, folder)
+    outcomes = read.select("asset_id", "ts", F.lit("read").alias("outcome"), F.lit(None).cast("string").alias("raw_time"), F.lit(None).cast("string").alias("raw_current"))
+    put_aside = rejected.select(
+        "asset_id", "ts", F.array_join("reasons", ", ").alias("outcome"),
+        F.col("raw")[sources.RAW_TIME].alias("raw_time"), F.col("raw")[sources.RAW_SENSORS["current"]].alias("raw_current"),
+    )
+    both = outcomes.unionByName(put_aside)
+    return both.groupBy("asset_id", Q.stamp(), "outcome", "raw_time", "raw_current").agg(F.count("*").alias("n_rows"))
+
+
+def _insert(rows: DataFrame, table: polling.Table, columns: tuple[str, ...]) -> None:
+    """Rows into a database table, each task with a connection of its own."""
+    marks = ", ".join("?" for _ in columns)
+
+    def write(part) -> None:
+        connection = table.connection()
+        while some := list(islice(part, 10_000)):
+            connection.cursor().executemany(f"INSERT INTO {table.table} ({', '.join(columns)}) VALUES ({marks})", [tuple(r) for r in some])
+            connection.commit()
+        connection.close()
+
+    rows.select(*columns).foreachPartition(write)
+
+
+def stream_table_poll(spark: SparkSession, sf: str) -> DataFrame:
+    """A growing database table, polled in three runs of one stream, each stopped and started again.
+
+    A page is a twentieth of the table at most, so every run takes several.
+    """
+    events = Q._events(spark, sf)
+    folder = scratch_folder(spark, "polled")
+    place = Path(folder.removeprefix("file:"))
+    place.mkdir(parents=True)
+    table = polling.Table("sqlite3:connect", json.dumps({"database": f"{place}/readings.db", "timeout": 120}), "readings", time="taken_at", asset="unit")
+    connection = table.connection()
+    connection.execute("CREATE TABLE readings (unit TEXT, taken_at TEXT, vibration REAL, current REAL, temperature REAL)")
+    connection.execute("CREATE INDEX by_key ON readings (taken_at, coalesce(unit, ''))")
+    connection.commit()
+    connection.close()
+    page = events.count() // 20 + 1
+    for part in Q._by_time(events):
+        named = part.select(F.col("asset_id").alias("unit"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("taken_at"), *SENSORS)
+        _insert(named, table, ("unit", "taken_at", *SENSORS))
+        rows = polling.poll_table(spark, table, f"{place}/cursor.json", page, tasks=4)
+        writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+        query = writer.trigger(processingTime="0 seconds").start()
+        query.processAllAvailable()
+        query.stop()
+    return spark.read.parquet(f"{folder}/out").select("asset_id", Q.stamp(), *[Q.six(s) for s in SENSORS])
+
+
+def evaluation_by_asset(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole report of the stand-in monitor for every asset and for the fleet."""
+    labelled = Q._events(spark, sf, labelled=True)
+    flat = evaluation.replay(labelled, Q._stand_in(spark), scorer=Q._with_score)
+    return evaluation.evaluate_by_asset(flat, labelled).select("scope", "section", "metric", Q.six("value"))
 
 
 def cleaned_sink(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,6 +193,13 @@ def _spreads(spark: SparkSession, sf: str) -> DataFrame:
     return spread.unpivot([], list(FEATURES), "feature", "importance")
 
 
+def permutation_importance_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Importance for the fixed trees, with donors that SQL can find."""
+    features = materialize(Q._features(spark, sf), "features")
+    found = diagnostics.permutation_importance(features, Q.fixed_nodes(), features.count())
+    return found.select("feature", Q.rounded(F.col("importance"), 9).alias("importance"))
+
+
 def importance_by_sensor_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return diagnostics.importance_by_sensor(_spreads(spark, sf)).select("sensor", Q.six("importance"), Q.six("percent"))
 
@@ -133,6 +211,9 @@ def top_features_fixed(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_day_first": csv_day_first,
     "csv_iso": csv_iso,
+    "csv_rejects": csv_rejects,
+    "stream_table_poll": stream_table_poll,
+    "evaluation_by_asset": evaluation_by_asset,
     "cleaned_sink": cleaned_sink,
     "feature_sink": feature_sink,
     "prediction_log": prediction_log,
@@ -140,6 +221,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calibration_tables": calibration_tables,
     "feature_cache": feature_cache,
     "finite_split": finite_split,
+    "permutation_importance_fixed": permutation_importance_fixed,
     "importance_by_sensor_fixed": importance_by_sensor_fixed,
     "top_features_fixed": top_features_fixed,
 }

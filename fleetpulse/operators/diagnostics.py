@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fleetpulse.config import DEFAULT, FEATURES, EngineConfig
 from fleetpulse.functions.columns import sensor_label, sensor_of
-from fleetpulse.operators.forest import PackedForest, check_finite
+from fleetpulse.operators.forest import PRIME, PackedForest, check_finite, linear_hash, row_hash
 
 REPEATS = 20
 REDUNDANT_ABOVE = 0.95
@@ -37,42 +37,71 @@ def permutation_importance(
     repeats: int = REPEATS,
     cfg: EngineConfig = DEFAULT,
 ) -> DataFrame:
-    """Mean |score change| per feature when its values are shuffled.
+    """Mean |score change| per feature when its values are shuffled, and ``walk_share``.
 
-    Rows are dealt to groups of about GROUP_ROWS by a seeded hash and shuffled
-    inside their group, so each row's donor is a uniform draw from the whole
-    set, every row takes part in every repeat, and no value is gathered in one
-    task. All variants are scored where the group is.
+    Rows are dealt to groups of about GROUP_ROWS by hash and shuffled inside
+    their group, so each row's donor is a uniform draw from the whole set, every
+    row takes part in every repeat, and no value is gathered in one task.  The
+    order of the donors is a linear hash of the row's own, one for each feature
+    and repeat, so plain SQL finds the same donors.
+
+    A shuffled feature changes a row's path only in trees that test it on that
+    path: each leaf knows the features met on the way to it, and only those rows
+    of those trees are walked again.  ``walk_share`` is their part of all walks.
     """
     spark = reference.sparkSession
     groups = max(1, ceil(n_rows / GROUP_ROWS))
     forest = spark.sparkContext.broadcast(PackedForest(nodes))
     names, seed = list(features), cfg.seed
+    donors = {j: [linear_hash(f"{seed}|donor|{f}|{r}") for r in range(repeats)] for j, f in enumerate(names)}
 
     def importance(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        x = group[names].to_numpy(float)
+        group = group.sort_values(["place", "asset_id", "ts"])
+        x, hashes = group[names].to_numpy(float), group["row_hash"].to_numpy()
         check_finite(x, names)
-        base = forest.value.score(x)
-        changes = np.zeros(len(names))
-        variants, before = np.tile(x, (repeats, 1)), np.tile(base, repeats)
+        paths = Paths(forest.value, x)
+        changes, walks = np.zeros(len(names)), np.zeros(len(names), dtype=np.int64)
         for j in range(len(names)):
-            rng = np.random.default_rng([seed, int(key[0]), j])
-            variants[:, j] = np.concatenate([rng.permutation(x[:, j]) for _ in range(repeats)])
-            changes[j] = np.abs(forest.value.score(variants) - before).sum()
-            variants[:, j] = np.tile(x[:, j], repeats)
-        return pd.DataFrame({"feature": names, "change": changes, "n": len(x) * repeats})
-
-    identity = [F.col("asset_id"), F.col("ts")]
-    group_id = F.pmod(F.xxhash64(F.lit(seed), F.lit("group"), *identity), F.lit(groups)).cast("long")
-    rank = F.xxhash64(F.lit(seed), F.lit("order"), *identity)
-    dealt = reference.select(group_id.alias("group_id"), rank.alias("rank"), *names)
+            orders = [np.argsort((hashes * first + second) % PRIME, kind="stable") for first, second in donors[j]]
+            changes[j], walks[j] = paths.changes(j, np.array([x[o, j] for o in orders]))
+        return pd.DataFrame({"feature": names, "change": changes, "n": len(x) * repeats, "walks": walks})
+
+    dealt = reference.select("asset_id", "ts", row_hash().alias("row_hash"), *names)
+    of_group, of_place = linear_hash(f"{seed}|group"), linear_hash(f"{seed}|place")
+    dealt = dealt.withColumn("group_id", F.pmod(F.pmod(F.col("row_hash") * of_group[0] + of_group[1], F.lit(PRIME)), F.lit(groups)))
+    dealt = dealt.withColumn("place", F.pmod(F.col("row_hash") * of_place[0] + of_place[1], F.lit(PRIME)))
     # One exchange with a fixed width: scoring variants is CPU work.
     width = min(groups, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 64))
     parts = dealt.repartition(width, "group_id").groupBy("group_id").applyInPandas(
-        importance, "feature string, change double, n long"
+        importance, "feature string, change double, n long, walks long"
+    )
+    trees = int(nodes["tree_id"].nunique())
+    return parts.groupBy("feature").agg(
+        (F.sum("change") / F.sum("n")).alias("importance"), (F.sum("walks") / (F.sum("n") * trees)).alias("walk_share")
     )
-    return parts.groupBy("feature").agg((F.sum("change") / F.sum("n")).alias("importance"))
+
+
+class Paths:
+    """The leaves that rows reach in every tree, and what changes when one feature does."""
+
+    def __init__(self, forest: PackedForest, x: np.ndarray):
+        self.forest, self.x = forest, x
+        self.leaf = forest.leaves(x)
+        self.total = sum(value.take(leaf) for value, leaf in zip(forest.value, self.leaf))
+        self.met = np.array([met.take(leaf) for met, leaf in zip(forest.met, self.leaf)])
+        self.base = forest.anomaly(self.total)
+
+    def changes(self, j: int, shuffled: np.ndarray) -> tuple[float, int]:
+        """Sum of |score change| over all rows and repeats (rows of ``shuffled``), and how many paths were walked again."""
+        totals, walks = np.tile(self.total, (len(shuffled), 1)), 0
+        for t, met in enumerate(self.met):
+            rows = np.flatnonzero(met >> j & 1)
+            if rows.size:
+                again = self.forest.walk(t, self.x[rows], j, shuffled[:, rows])
+                value = self.forest.value[t]
+                totals[:, rows] += value.take(again) - value.take(self.leaf[t, rows])
+                walks += again.size
+        return float(np.abs(self.forest.anomaly(totals) - self.base).sum()), walks
 
 
 def importance_by_sensor(importances: DataFrame) -> DataFrame:

@@ -204,9 +204,99 @@ def dataset_counts(labelled: DataFrame, target_rows: DataFrame) -> DataFrame:
     )
 
 
-def as_metrics(one_row: DataFrame, section: str) -> DataFrame:
-    """A one-row frame as long (section, metric, value) rows."""
-    names = one_row.columns
+def as_metrics(rows: DataFrame, section: str, *keys: str) -> DataFrame:
+    """One row for each key as long (keys, section, metric, value) rows."""
+    names = [c for c in rows.columns if c not in keys]
     pairs = ", ".join(f"'{n}', double({n})" for n in names)
-    long = one_row.selectExpr(f"stack({len(names)}, {pairs}) AS (metric, value)")
-    return long.select(F.lit(section).alias("section"), "metric", "value")
+    long = rows.selectExpr(*keys, f"stack({len(names)}, {pairs}) AS (metric, value)")
+    return long.select(*keys, F.lit(section).alias("section"), "metric", "value")
+
+
+# -- by asset and for the fleet at once -------------------------------------
+
+
+def scope(everything: str, is_fleet: str | None = None) -> Column:
+    """Name of a rolled-up row: its asset, or ``everything`` for the row over all of them."""
+    fleet = F.grouping("asset_id") if is_fleet is None else F.col(is_fleet)
+    return F.when(fleet == 1, F.lit(everything)).otherwise(F.col("asset_id"))
+
+
+def section_sums(rows: DataFrame) -> DataFrame:
+    """Counts and sums of all sections for each asset and the fleet, from one pass over the targets."""
+
+    def cells(name: str, truth: str, predicted: str) -> list[Column]:
+        y, p = F.col(truth) == 1, F.col(predicted) == 1
+        return [F.count_if(c).alias(f"{name}_{n}") for n, c in (("tp", y & p), ("fp", ~y & p), ("tn", ~y & ~p), ("fn", y & ~p))]
+
+    away = F.col("failure_prob") - F.col("y_failure")
+    return rows.rollup(ASSET).agg(
+        F.grouping(ASSET).alias("is_fleet"),
+        F.count("*").alias("n_emitted"),
+        F.sum("y_health").alias("n_degraded"),
+        F.sum("y_failure").alias("n_failure_positive"),
+        *cells("health", "y_health", "pred_health"),
+        *cells("maintenance", "y_failure", "pred_maintenance"),
+        F.avg(away * away).alias("brier"),
+    )
+
+
+def rates_of(sums: DataFrame, name: str) -> DataFrame:
+    return binary_metrics(sums.select("scope", *[F.col(f"{name}_{c}").alias(c) for c in ("tp", "fp", "tn", "fn")]))
+
+
+def scoped_counts(raw: DataFrame, sums: DataFrame) -> DataFrame:
+    """Raw, emitted, warm-up, degraded and failure-positive rows; assets without outputs have zeros."""
+    both = raw.join(sums.select("scope", "n_emitted", "n_degraded", "n_failure_positive"), raw["scope"].eqNullSafe(sums["scope"]), "left")
+    zero = {c: F.coalesce(sums[c], F.lit(0)).alias(c) for c in ("n_emitted", "n_degraded", "n_failure_positive")}
+    return both.select(
+        raw["scope"], "n_raw", zero["n_emitted"], (F.col("n_raw") - zero["n_emitted"]).alias("n_warm_up"), zero["n_degraded"], zero["n_failure_positive"]
+    )
+
+
+def scoped_calibration_error(rows: DataFrame, everything: str, bins: int = ECE_BINS) -> DataFrame:
+    """(scope, ece): bins of each asset, and of all assets."""
+    binned = rows.select(ASSET, ece_bin(F.col("failure_prob"), bins).alias("bin"), "y_failure", "failure_prob")
+    per_bin = binned.rollup("bin", ASSET).agg(
+        F.grouping("bin").alias("no_bin"), scope(everything).alias("scope"), F.count("*").alias("n"),
+        F.avg(F.col("y_failure").cast("double")).alias("observed"), F.avg("failure_prob").alias("expected"),
+    ).filter("no_bin = 0")
+    gap = F.col("n") * F.abs(F.col("observed") - F.col("expected"))
+    return per_bin.groupBy("scope").agg(F.try_divide(F.sum(gap), F.sum("n")).alias("ece"))
+
+
+def scoped_ranking(rows: DataFrame, truth: str, score: str, everything: str) -> DataFrame:
+    """(scope, roc_auc, average_precision) of ``ranking_metrics`` for each asset and the fleet.
+
+    Rows collapse to one for each (score, asset) and, in the same rollup, for
+    each score. Running counts stay inside (scope, bucket of the score); the
+    totals of the buckets, at most as many as the scores' range has, are carried
+    across by a window over (scope) on them alone. The offsets join by key: with
+    very many assets they are no small table.
+    """
+    per_score = rows.select(ASSET, F.col(truth).alias("truth"), F.col(score).alias("score")).rollup("score", ASSET).agg(
+        F.grouping("score").alias("no_score"), scope(everything).alias("scope"),
+        F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") != 1).alias("neg"),
+    ).filter("no_score = 0")
+    per_score = per_score.select(
+        "scope", "score", "pos", "neg", F.floor(clip(F.col("score"), -RANK_REACH, RANK_REACH) * RANK_BUCKETS).cast("int").alias("bucket")
+    )
+    totals = per_score.groupBy("scope", "bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    higher = W.partitionBy("scope").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("scope")
+    offsets = totals.select(
+        F.col("scope").alias("of"), F.col("bucket").alias("at"),
+        *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_before") for c in ("pos", "neg")],
+        *[F.sum(c).over(whole).alias(f"n_{c}") for c in ("pos", "neg")],
+    )
+    within = W.partitionBy("scope", "bucket").orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
+    d = per_score.withColumn("pos_in", F.sum("pos").over(within)).withColumn("neg_in", F.sum("neg").over(within))
+    d = d.join(offsets, d["scope"].eqNullSafe(offsets["of"]) & (d["bucket"] == offsets["at"]))
+    pos_so_far, neg_so_far = F.col("pos_before") + F.col("pos_in"), F.col("neg_before") + F.col("neg_in")
+    area = F.col("neg") * (pos_so_far - F.col("pos") / 2.0)
+    step = F.col("pos") * F.try_divide(pos_so_far, pos_so_far + neg_so_far)
+    n_pos, n_neg = F.max("n_pos"), F.max("n_neg")
+    both = (n_pos > 0) & (n_neg > 0)
+    return d.groupBy("scope").agg(
+        F.when(both, F.try_divide(F.sum(area), n_pos.cast("double") * n_neg)).alias("roc_auc"),
+        F.when(both, F.try_divide(F.sum(step), n_pos.cast("double"))).alias("average_precision"),
+    )

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from math import ceil, log2, sqrt
 
 import numpy as np
@@ -66,9 +66,13 @@ def row_hash() -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(PRIME))
 
 
+def linear_hash(name: str) -> tuple[int, int]:
+    """Two numbers that make a rank of a row: (row hash * first + second) mod PRIME."""
+    return 1 + draw(f"{name}|scale") % (PRIME - 1), draw(f"{name}|shift") % PRIME
+
+
 def tree_hashes(seed: int, n_trees: int) -> list[tuple[int, int]]:
-    """The two numbers of each tree: rank = (row hash * first + second) mod PRIME."""
-    return [(1 + draw(f"{seed}|scale|{t}") % (PRIME - 1), draw(f"{seed}|shift|{t}") % PRIME) for t in range(n_trees)]
+    return [linear_hash(f"{seed}|{t}") for t in range(n_trees)]
 
 
 def ranked_below(reference: DataFrame, below: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -169,53 +173,73 @@ class PackedForest:
         self.feature = np.zeros((len(trees), inner), dtype=np.intp)
         self.threshold = np.full((len(trees), inner), np.inf)
         self.value = np.zeros((len(trees), bottom))
+        self.met = np.zeros((len(trees), bottom), dtype=np.int64)  # bit j: feature j is tested on the way
         for t, tree_id in enumerate(trees):
             rows = nodes[nodes["tree_id"] == tree_id].set_index("node_id")
             feature, threshold = rows["feature"].to_dict(), rows["threshold"].to_dict()
             left, right = rows["left"].to_dict(), rows["right"].to_dict()
             path = dict(zip(rows.index, rows["depth"] + expected_path(rows["n_samples"])))
-            todo = [(0, 0, 0)]
+            todo = [(0, 0, 0, 0)]
             while todo:
-                node, slot, depth = todo.pop()
+                node, slot, depth, met = todo.pop()
                 if feature[node] == LEAF:
                     first = ((slot + 1) << (self.depth - depth)) - 1 - inner
                     self.value[t, first : first + (1 << (self.depth - depth))] = path[node]
+                    self.met[t, first : first + (1 << (self.depth - depth))] = met
                     continue
                 self.feature[t, slot] = feature[node]
                 self.threshold[t, slot] = threshold[node]
-                todo.append((left[node], 2 * slot + 1, depth + 1))
-                todo.append((right[node], 2 * slot + 2, depth + 1))
+                met |= 1 << int(feature[node])
+                todo.append((left[node], 2 * slot + 1, depth + 1, met))
+                todo.append((right[node], 2 * slot + 2, depth + 1, met))
 
     def __getstate__(self) -> bytes:
         """Compressed: most padding repeats, so a forest ships in a fraction of
         a megabyte. Code sent to stateful streaming must stay below one."""
-        arrays = (self.depth, self.sample, self.feature.astype(np.int16), self.threshold, self.value)
+        arrays = (self.depth, self.sample, self.feature.astype(np.int16), self.threshold, self.value, self.met)
         return zlib.compress(pickle.dumps(arrays, protocol=5))
 
     def __setstate__(self, state: bytes) -> None:
-        self.depth, self.sample, feature, self.threshold, self.value = pickle.loads(zlib.decompress(state))
+        self.depth, self.sample, feature, self.threshold, self.value, self.met = pickle.loads(zlib.decompress(state))
         self.feature = feature.astype(np.intp)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """-2^(-mean path / expected path): near -1 anomalous, near 0 normal."""
         out = np.empty(len(x))
         for a in range(0, len(x), SCORE_BATCH):
-            out[a : a + SCORE_BATCH] = self._paths(np.ascontiguousarray(x[a : a + SCORE_BATCH]))
-        mean_path = out / len(self.feature)
-        return -np.exp2(-mean_path / max(float(expected_path(self.sample)), 1e-12))
+            piece = np.ascontiguousarray(x[a : a + SCORE_BATCH])
+            out[a : a + SCORE_BATCH] = sum(value.take(leaf) for value, leaf in zip(self.value, self._leaves(piece)))
+        return self.anomaly(out)
+
+    def anomaly(self, total: np.ndarray) -> np.ndarray:
+        """Score of a total path length over all trees."""
+        return -np.exp2(-total / len(self.feature) / max(float(expected_path(self.sample)), 1e-12))
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """Place of the leaf, of those at full depth, that each row reaches in each tree: a row for each tree."""
+        return np.array(list(self._leaves(np.ascontiguousarray(x))))
 
-    def _paths(self, x: np.ndarray) -> np.ndarray:
+    def _leaves(self, x: np.ndarray) -> Iterator[np.ndarray]:
         n, width = x.shape
         flat, row = x.ravel(), np.arange(n) * width
-        total = np.zeros(n)
         inner = self.feature.shape[1]
-        for feature, threshold, value in zip(self.feature, self.threshold, self.value):
+        for feature, threshold in zip(self.feature, self.threshold):
             slot = (x[:, feature[0]] > threshold[0]) + 1
             for _ in range(1, self.depth):
                 right = flat.take(feature.take(slot) + row) > threshold.take(slot)
                 slot = 2 * slot + 1 + right
-            total += value.take(slot - inner)
-        return total
+            yield slot - inner
+
+    def walk(self, tree: int, x: np.ndarray, changed: int, values: np.ndarray) -> np.ndarray:
+        """Leaves of one tree with a feature replaced: ``values`` has a row for each variant of the rows of ``x``."""
+        feature, threshold, inner = self.feature[tree], self.threshold[tree], self.feature.shape[1]
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        slot = np.zeros(values.shape, dtype=np.intp)
+        for _ in range(self.depth):
+            tested = feature.take(slot)
+            at = np.where(tested == changed, values, flat.take(tested + row))
+            slot = 2 * slot + 1 + (at > threshold.take(slot))
+        return slot - inner
 
 
 def check_finite(x: np.ndarray, features: Sequence[str]) -> None:

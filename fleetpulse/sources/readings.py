@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fleetpulse.config import DEFAULT, SENSORS, EngineConfig
 from fleetpulse.functions.columns import nan_to_null
@@ -48,6 +48,50 @@ def read_labelled_csv(spark: SparkSession, path: str, asset_id: str | None = Non
     return _project(spark.read.option("header", True).csv(path), asset_id, True, fmt)
 
 
+BAD_LINE = "_line"
+
+
+def read_csv_checked(
+    spark: SparkSession, path: str, asset_id: str | None = None, fmt: str | None = None, label: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """(readings, rejected): every line of the files is in exactly one of the two.
+
+    A line is rejected if it has another number of fields than the header, or if
+    a needed field holds text that is no time or no number; an empty field is a
+    missing value, not a rejected one. Rejected lines keep what was read: the
+    ``reasons``, the raw text of the fields that could not be read (``raw``), the
+    whole line where its fields do not fit (``line``), and where it stands:
+    ``file`` with ``block_start``, the byte at which the scanned block begins.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD_LINE]])
+    scan = spark.read.schema(fields).option("header", True).option("columnNameOfCorruptRecord", BAD_LINE).csv(path)
+    text = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block_start"))
+    good = _project(text, asset_id, label, fmt)  # checks the names
+    time = parse_time(F.col(RAW_TIME), fmt)
+
+    def unread(column: str, parsed) -> Column:
+        return F.col(column).isNotNull() & (F.trim(F.col(column)) != "") & parsed.isNull()
+
+    unreadable = {RAW_TIME: ("no time", unread(RAW_TIME, time))}
+    unreadable |= {c: ("no number", unread(c, F.col(c).try_cast("double"))) for c in RAW_SENSORS.values()}
+    # A plain test for NULL would be pushed into the scan, which fills this column after its filters.
+    short = F.length(F.coalesce(BAD_LINE, F.lit(""))) > 0
+    reasons = F.array_compact(F.array(
+        *[F.when(~short & bad, F.lit(f"{why}: {c}")) for c, (why, bad) in unreadable.items()], F.when(short, F.lit("wrong number of fields"))
+    ))
+    raw = F.map_from_entries(F.array_compact(F.array(
+        *[F.when(~short & bad, F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))) for c, (_, bad) in unreadable.items()]
+    )))
+    judged = text.withColumn("_reasons", reasons).withColumn("_raw", raw)
+    asset = F.col("asset_id") if asset_id is None and "asset_id" in header else F.lit(asset_id or DEFAULT_ASSET)
+    rejected = judged.filter(F.size("_reasons") > 0).select(
+        asset.alias("asset_id"), F.when(~short, time).alias("ts"), F.col("_reasons").alias("reasons"), F.col("_raw").alias("raw"),
+        F.col(BAD_LINE).alias("line"), F.col("_file").alias("file"), F.col("_block_start").alias("block_start"),
+    )
+    return _project(judged.filter(F.size("_reasons") == 0), asset_id, label, fmt).select(*good.columns), rejected
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.parquet(path)
