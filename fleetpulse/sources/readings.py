@@ -65,7 +65,8 @@ def read_csv_checked(
     """
     header = spark.read.option("header", True).csv(path).columns
     fields = T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD_LINE]])
-    scan = spark.read.schema(fields).option("header", True).option("columnNameOfCorruptRecord", BAD_LINE).csv(path)
+    # Only whole lines show that their fields do not fit, so no column is pruned.
+    scan = spark.read.schema(fields).option("header", True).option("columnNameOfCorruptRecord", BAD_LINE).option("columnPruning", False).csv(path)
     text = scan.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block_start"))
     good = _project(text, asset_id, label, fmt)  # checks the names
     time = parse_time(F.col(RAW_TIME), fmt)
