@@ -1,11 +1,13 @@
 """The monitor as a stateful Structured Streaming query.
 
-One state per asset: the last readings, the filter, the trend history, the
-hysteresis, and readings waiting for the watermark. Readings are handled in
-time order once the watermark has passed them, so jitter does not change the
-result; what arrives after its place was taken is reported as late. Everything
-that needs one row only (forecast, texts, explanation, rounding) is the batch
-code applied behind the stateful operator.
+One state per asset: the last readings, the filter, the trend history and the
+hysteresis. Readings that wait for the watermark lie in a map state of their
+own, by the span of time (``SPAN``) they fall into. Once the watermark has passed
+them they are handled in time order, span by span, so that a backlog of an asset
+is never gathered: a task holds one Arrow batch of arrivals and the readings of
+one span. Jitter does not change the result; what arrives after its place was
+taken is reported as late. Everything that needs one row only (forecast, texts,
+explanation, rounding) is the batch code applied behind the stateful operator.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ PREDICTION, LATE, INVALID = "prediction", "late", "invalid"
 STATE_SCHEMA = (
     "last_ts long, tick long, emissions long, level double, variance double, "
     "recent array<double>, seeds array<double>, trend_x array<double>, trend_y array<double>, "
-    "candidate int, streak int, held int, pending array<double>, pending_ts array<long>"
+    "candidate int, streak int, held int"
 )
-EMPTY_STATE = (-(1 << 62), 0, 0, 0.0, 0.0, [], [], [], [], 0, 0, 0, [], [])
+EMPTY_STATE = (-(1 << 62), 0, 0, 0.0, 0.0, [], [], [], [], 0, 0, 0)
+#: Microseconds of one entry of the waiting readings.
+SPAN = 2 * 3600 * 1_000_000
 OUTPUT_SCHEMA = (
     "asset_id string, ts timestamp, status string, reason string, vibration double, current double, temperature double, "
     "tick long, score double, health_raw double, output long, level double, n_fit long, slope double, "
@@ -56,15 +60,13 @@ class MonitorProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("monitor", STATE_SCHEMA)
+        self.waiting = handle.getMapState("waiting", "span long", "ts array<long>, readings array<double>")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         s = self._load()
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [np.array(s["pending"], dtype=float).reshape(-1, len(PENDING_COLUMNS))]
-        waiting_ts = [np.array(s["pending_ts"], dtype=np.int64)]
         for batch in rows:
             no_place = batch["ts"].isna() | (key[0] is None)
             if no_place.any():
@@ -74,15 +76,11 @@ class MonitorProcessor(StatefulProcessor):
             late = ts <= s["last_ts"]
             if late.any():
                 yield self._side(key[0], batch[list(SENSORS)].to_numpy(float)[late], ts[late], LATE, "behind the last handled reading")
-            waiting.append(batch[list(PENDING_COLUMNS)].to_numpy(float)[~late])
-            waiting_ts.append(ts[~late])
-        yield from self._release(key[0], s, np.concatenate(waiting), np.concatenate(waiting_ts), watermark)
+            self._wait(batch[list(PENDING_COLUMNS)].to_numpy(float)[~late], ts[~late])
+        yield from self._release(key[0], s, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        s = self._load()
-        values = np.array(s["pending"], dtype=float).reshape(-1, len(PENDING_COLUMNS))
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        yield from self._release(key[0], s, values, np.array(s["pending_ts"], dtype=np.int64), watermark)
+        yield from self._release(key[0], self._load(), timerValues.getCurrentWatermarkInMs() * 1000)
 
     # -- one asset ---------------------------------------------------------
 
@@ -98,17 +96,48 @@ class MonitorProcessor(StatefulProcessor):
         names = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
         return dict(zip(names, self.state.get() if self.state.exists() else EMPTY_STATE))
 
-    def _release(self, asset: str, s: dict, values: np.ndarray, ts: np.ndarray, watermark: int):
-        """Handle what the watermark has passed, keep the rest."""
-        ready = ts <= watermark
-        s["pending"], s["pending_ts"] = values[~ready].ravel().tolist(), ts[~ready].tolist()
-        out = self._in_order(asset, s, values[ready], ts[ready]) if ready.any() else []
+    def _wait(self, values: np.ndarray, ts: np.ndarray) -> None:
+        """Put arrivals to those that wait in the same span."""
+        spans = ts // SPAN
+        for span in np.unique(spans):
+            mine = spans == span
+            held_ts, held = self._span(int(span))
+            self._keep(int(span), np.concatenate([held_ts, ts[mine]]), np.concatenate([held, values[mine]]))
+
+    def _span(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        if not self.waiting.containsKey((span,)):
+            return np.zeros(0, dtype=np.int64), np.zeros((0, len(PENDING_COLUMNS)))
+        ts, values = self.waiting.getValue((span,))
+        return np.array(ts, dtype=np.int64), np.array(values, dtype=float).reshape(-1, len(PENDING_COLUMNS))
+
+    def _keep(self, span: int, ts: np.ndarray, values: np.ndarray) -> None:
+        self.waiting.updateValue((span,), (ts.tolist(), values.ravel().tolist()))
+
+    def _release(self, asset: str, s: dict, watermark: int) -> Iterator[pd.DataFrame]:
+        """Handle what the watermark has passed, one span after the other, and wake up for the rest."""
+        next_time = None
+        for span in sorted(k[0] for k in self.waiting.keys()):
+            if span * SPAN > watermark:
+                next_time = span * SPAN
+                break
+            ts, values = self._span(span)
+            ready = ts <= watermark
+            if ready.any():
+                yield from self._in_order(asset, s, values[ready], ts[ready])
+            if not ready.all():
+                self._keep(span, ts[~ready], values[~ready])
+                next_time = int(ts[~ready].min())
+                break
+            self.waiting.removeKey((span,))
         self.state.update(tuple(s.values()))
-        if (~ready).any():
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(ts[~ready].min() // 1000) + 1)
-        yield from out
+        if next_time is not None:
+            wanted = int(next_time // 1000) + 1
+            timers = list(self.handle.listTimers())
+            for timer in timers:
+                if timer != wanted:
+                    self.handle.deleteTimer(timer)
+            if wanted not in timers:
+                self.handle.registerTimer(wanted)
 
     def _in_order(self, asset: str, s: dict, values: np.ndarray, ts: np.ndarray) -> list[pd.DataFrame]:
         order = np.lexsort((values[:, 2], values[:, 1], values[:, 0], ts))  # NaN sorts last

@@ -3,11 +3,13 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fleetpulse.plans.monitoring import flatten_predictions, monitor_batch
 from fleetpulse.sources.readings import READING_SCHEMA, stream_table
+from fleetpulse.streaming import monitor
 from fleetpulse.streaming.monitor import start
 from helpers import minute, readings, stand_in
 from test_monitor import QUICK, fleet, scorer
@@ -71,3 +73,55 @@ def test_late_and_invalid_rows(spark, tmp_path):
     assert [tuple(r) for r in late] == [("a", minute(5), 9.0)]
     invalid = spark.read.parquet(f"{folder}/out/invalid").select("ts", "vibration").collect()
     assert [tuple(r) for r in invalid] == [(minute(20), -1.0)]
+
+
+class Waiting(dict):
+    """Map state without Spark."""
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+
+class Timers(list):
+    listTimers, registerTimer, deleteTimer = list.copy, list.append, list.remove
+
+
+class Watermark:
+    def __init__(self, micros):
+        self.micros = micros
+
+    def getCurrentWatermarkInMs(self):
+        return self.micros // 1000
+
+
+def test_a_backlog_of_one_asset_leaves_in_bounded_pieces(monkeypatch):
+    """A million shuffled readings arrive before the watermark moves; then it passes them in two steps."""
+    p = monitor.MonitorProcessor(None, QUICK, True)
+    p.handle, p.waiting = Timers(), Waiting()
+    held = {"s": dict(zip([c.split()[0] for c in monitor.STATE_SCHEMA.split(", ")], monitor.EMPTY_STATE))}
+    p.state = type("State", (), {"update": lambda self, v: held.update(s=dict(zip(held["s"], v)))})()
+    monkeypatch.setattr(p, "_load", lambda: dict(held["s"]))
+    handled, sizes = [], []
+
+    def in_order(asset, s, values, ts):
+        handled.append(np.sort(ts))
+        sizes.append(len(ts))
+        s["last_ts"] = int(ts.max())
+        return []
+
+    monkeypatch.setattr(p, "_in_order", in_order)
+    n, minute_us = 1_000_000, 60_000_000
+
+    def batches():
+        for start in np.random.default_rng(0).permutation(n // 10_000) * 10_000:
+            ts = (start + np.random.default_rng(start).permutation(10_000)) * minute_us
+            yield pd.DataFrame({"ts": pd.to_datetime(ts, unit="us"), **{c: 1.0 for c in monitor.PENDING_COLUMNS}})
+
+    assert list(p.handleInputRows(("a",), batches(), Watermark(-1))) == [] and not handled
+    assert p.handle == [1]
+    per_span = monitor.SPAN // minute_us
+    half = 500_000 * minute_us + 30_000_000
+    assert list(p.handleExpiredTimer(("a",), Watermark(half), None)) == []
+    assert sum(sizes) == 500_001 and max(sizes) <= per_span and p.handle == [500_001 * 60_000 + 1]
+    list(p.handleExpiredTimer(("a",), Watermark(n * minute_us), None))
+    every = np.concatenate(handled)
+    assert len(every) == n and (np.diff(every) == minute_us).all() and max(sizes) <= per_span and not p.waiting
