@@ -25,10 +25,11 @@ from fleetpulse.operators.health import CALIBRATION_SCHEMA, calibrate, health_su
 from fleetpulse.plans import evaluation, monitoring, recalibration, training
 from fleetpulse.plans.building import build_features
 from fleetpulse.session import materialize, scratch_folder, ship, tune
-from fleetpulse.sources.readings import read_new_rows, read_pages, readings_from_events, stream_table
+from fleetpulse.sources.readings import READING_SCHEMA, read_new_rows, read_pages, readings_from_events, stream_table
 from fleetpulse.sources.registry import Model
 from fleetpulse.sources.signature import table_signature
 from fleetpulse.streaming import monitor as streaming
+from fleetpulse.streaming.sink import BatchLog
 
 # The stand-in score and its calibration; oracles.py states the same formula.
 SCORE_BASE, SCORE_STEP = -0.44, 0.0653719
@@ -522,7 +523,7 @@ def monitor_stream(spark: SparkSession, sf: str) -> DataFrame:
         trigger={"availableNow": True},
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out/predictions").drop("run_id", "batch_id", "processed_at").withColumn("ts", stamp())
+    return streaming.read_output(spark, f"{folder}/out", "predictions").drop("processed_at").withColumn("ts", stamp())
 
 
 def _streamed(spark: SparkSession, sf: str, parts: list[DataFrame]) -> str:
@@ -558,7 +559,7 @@ def _by_time(rows: DataFrame) -> list[DataFrame]:
 def stream_flat(spark: SparkSession, sf: str) -> DataFrame:
     """All events through the stateful monitor in three runs; equals the batch monitor."""
     out = _streamed(spark, sf, _by_time(_events(spark, sf)))
-    return _log_form(spark.read.parquet(f"{out}/predictions"))
+    return _log_form(streaming.read_output(spark, out, "predictions"))
 
 
 def stream_late(spark: SparkSession, sf: str) -> DataFrame:
@@ -566,7 +567,7 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     first, second, third = _by_time(_events(spark, sf))
     again = first.filter(F.col("temperature") > 50)
     out = _streamed(spark, sf, [first, second, third.unionByName(again)])
-    return spark.read.parquet(f"{out}/late").select("asset_id", stamp(), *[six(s) for s in SENSORS], "reason")
+    return streaming.read_output(spark, out, "late").select("asset_id", stamp(), *[six(s) for s in SENSORS], "reason")
 
 
 def stream_invalid(spark: SparkSession, sf: str) -> DataFrame:
@@ -582,7 +583,7 @@ def stream_invalid(spark: SparkSession, sf: str) -> DataFrame:
     parts = _by_time(odd)
     parts[0] = parts[0].unionByName(odd.filter(F.col("ts").isNull()))
     out = _streamed(spark, sf, parts)
-    return spark.read.parquet(f"{out}/invalid").select("asset_id", stamp(), *[six(s) for s in SENSORS], "reason")
+    return streaming.read_output(spark, out, "invalid").select("asset_id", stamp(), *[six(s) for s in SENSORS], "reason")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -655,3 +656,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "importance_by_sensor": importance_by_sensor,
     "top_features": top_features,
 }
+
+
+def stream_log_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings in forty micro-batches, every third repeated as after a failure, merged four at a time."""
+    events, folder = _events(spark, sf), scratch_folder(spark, "log")
+    parts = F.pmod(F.unix_micros("ts"), F.lit(40))
+    events = materialize(events.withColumn("part", parts.cast("int")), "events")
+    log = BatchLog(spark, folder, READING_SCHEMA, every=4)
+    for i in range(40):
+        rows = events.filter(F.col("part") == i).drop("part")
+        for _ in range(2 if i % 3 == 0 else 1):
+            log.write(rows, i)
+    return log.read().select("asset_id", stamp(), *[six(s) for s in SENSORS])
+
+
+QUERIES["stream_log_merged"] = stream_log_merged

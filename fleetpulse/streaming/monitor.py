@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetpulse.config import DEFAULT, FEATURES, SENSORS, EngineConfig
 from fleetpulse.functions.columns import nan_to_null
@@ -28,10 +29,13 @@ from fleetpulse.operators.forecast import add_forecast
 from fleetpulse.operators.forest import PackedForest
 from fleetpulse.operators.health import pick_calibration
 from fleetpulse.plans.monitoring import flatten_predictions, present
+from fleetpulse.sources.readings import READING_SCHEMA
 from fleetpulse.sources.registry import Model
 from fleetpulse.streaming import kernel
+from fleetpulse.streaming.sink import BatchLog
 
 PREDICTION, LATE, INVALID = "prediction", "late", "invalid"
+SIDE_SCHEMA = StructType([*READING_SCHEMA.fields, StructField("reason", StringType())])
 
 STATE_SCHEMA = (
     "last_ts long, tick long, emissions long, level double, variance double, "
@@ -275,6 +279,15 @@ def state_store(spark) -> None:
     )
 
 
+def output_log(spark, output: str, table: str, run_id: str = "run") -> BatchLog:
+    """Predictions, late or invalid rows of one run."""
+    return BatchLog(spark, f"{output}/{table}/run_id={run_id}", SIDE_SCHEMA if table in (LATE, INVALID) else None)
+
+
+def read_output(spark, output: str, table: str, run_id: str = "run") -> DataFrame:
+    return output_log(spark, output, table, run_id).read()
+
+
 def start(
     readings: DataFrame,
     model: Model,
@@ -287,11 +300,13 @@ def start(
 ):
     """Run the monitor into ``output``/predictions, /late and /invalid.
 
-    Each micro-batch overwrites its own batch directory, so a batch repeated
-    after a failure does not repeat its rows. Event time and processing time
-    are both kept. Default trigger: every 60 seconds.
+    Each is a ``BatchLog`` of the run: a batch repeated after a failure does not
+    repeat its rows, batches without rows leave no files, and old batches are
+    merged. ``read_output`` reads them. Event time and processing time are both
+    kept. Default trigger: every 60 seconds.
     """
-    state_store(readings.sparkSession)
+    spark = readings.sparkSession
+    state_store(spark)
     rows = monitor_stream(readings, model, cfg, **options)
     mode = options.get("calibration", "auto")
 
@@ -299,13 +314,10 @@ def start(
         batch = batch.persist()
         try:
             flat = flatten_predictions(finish(batch, model, cfg, mode), cfg)
-            place = f"run_id={run_id}/batch_id={batch_id}"
-            flat.withColumn("processed_at", F.current_timestamp()).write.mode("overwrite").parquet(
-                f"{output}/predictions/{place}"
-            )
+            output_log(spark, output, "predictions", run_id).write(flat.withColumn("processed_at", F.current_timestamp()), batch_id)
             for status in (LATE, INVALID):
                 side = batch.filter(F.col("status") == status).select("asset_id", "ts", *SENSORS, "reason")
-                side.write.mode("overwrite").parquet(f"{output}/{status}/{place}")
+                output_log(spark, output, status, run_id).write(side, batch_id)
         finally:
             batch.unpersist()
 

@@ -48,7 +48,7 @@ def test_stream_equals_batch(spark, tmp_path, parts):
     put(closing(spark), folder)
     run(spark, folder)
     want = flatten_predictions(monitor_batch(df, stand_in(spark), QUICK, scorer=scorer), QUICK)
-    got = spark.read.parquet(f"{folder}/out/predictions").select(*want.columns)
+    got = monitor.read_output(spark, f"{folder}/out", "predictions").select(*want.columns)
     a, b = want.toPandas(), got.toPandas()
     key = ["asset_id", "ts"]
     a, b = (x.sort_values(key).reset_index(drop=True) for x in (a, b))
@@ -69,9 +69,9 @@ def test_late_and_invalid_rows(spark, tmp_path):
     put(spark.createDataFrame([("a", minute(5), 9.0, 9.0, 9.0), ("a", minute(70), 1.0, 2.0, 30.0)], READING_SCHEMA), folder)
     put(closing(spark), folder)
     run(spark, folder)
-    late = spark.read.parquet(f"{folder}/out/late").select("asset_id", "ts", "vibration").collect()
+    late = monitor.read_output(spark, f"{folder}/out", "late").select("asset_id", "ts", "vibration").collect()
     assert [tuple(r) for r in late] == [("a", minute(5), 9.0)]
-    invalid = spark.read.parquet(f"{folder}/out/invalid").select("ts", "vibration").collect()
+    invalid = monitor.read_output(spark, f"{folder}/out", "invalid").select("ts", "vibration").collect()
     assert [tuple(r) for r in invalid] == [(minute(20), -1.0)]
 
 
