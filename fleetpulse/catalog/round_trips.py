@@ -18,6 +18,7 @@ from fleetpulse.operators.health import calibrate
 from fleetpulse.plans import evaluation, monitoring
 from fleetpulse.plans.building import build_features
 from fleetpulse.session import materialize, scratch_folder
+from fleetpulse.sources.feature_cache import FeatureCache
 from fleetpulse.sources import polling, readings as sources, registry, signature
 
 DAY_FIRST = "dd.MM.yyyy HH:mm:ss.SSSSSS"
@@ -177,6 +178,20 @@ def feature_cache(spark: SparkSession, sf: str) -> DataFrame:
     return features.select("asset_id", Q.stamp(), "tick", *[Q.six(n) for n in names], F.lit(int(stale)).alias("stale_after_change"))
 
 
+def feature_cache_partial(spark: SparkSession, sf: str) -> DataFrame:
+    """One asset's readings change on one day and lose a day: few days are built again, all features and ticks are right."""
+    rows, cache = Q._events(spark, sf), FeatureCache(spark, scratch_folder(spark, "cache"))
+    cache.refresh(rows)
+    day, own = F.to_date("ts"), F.col("asset_id") == "view"
+    changed = rows.filter(~(own & (day == F.lit("2024-01-20")))).withColumn(
+        "current", F.when(own & (day == F.lit("2024-01-10")), F.col("current") + 1).otherwise(F.col("current"))
+    )
+    done = cache.refresh(changed)
+    few = int(done.n_changed == 2 and done.n_rebuilt <= 20 and done.n_read <= 30 < done.n_days)
+    names = [f for f in FEATURES if f.endswith(("_mean", "_corr"))]
+    return cache.read().select("asset_id", Q.stamp(), "tick", *[Q.six(n) for n in names], F.lit(few).alias("few_rebuilt"))
+
+
 def finite_split(spark: SparkSession, sf: str) -> DataFrame:
     """Feature rows with a NaN, an infinite or a missing value are set aside, not scored."""
     tick, x = F.col("tick") % 10, F.col("current_skew")
@@ -220,6 +235,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_registry": model_registry,
     "calibration_tables": calibration_tables,
     "feature_cache": feature_cache,
+    "feature_cache_partial": feature_cache_partial,
     "finite_split": finite_split,
     "permutation_importance_fixed": permutation_importance_fixed,
     "importance_by_sensor_fixed": importance_by_sensor_fixed,
