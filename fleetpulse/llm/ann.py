@@ -13,9 +13,13 @@ task.  Only the nearest few of each chunk leave it.
 
 Defined results: vectors that are null, zero, of another length than most of the
 sample, or that hold null or non-finite components take no part, nor do rows
-without an id; rows that share a query's id are the query itself; a repeated row
-is found once per row; ties go to the smaller id; with fewer candidates than
-asked for all that are found are returned; an empty table gives an empty table.
+without an id; rows that share a query's id are the query itself; a query row
+that is repeated is asked once, rows of one id with different vectors are asked
+each; a candidate row that is repeated is found once per row; lengths are
+measured on vectors scaled by a power of two, so their size may be any; ties go
+to the smaller id; with fewer candidates than asked for all that are found are
+returned; an empty table gives an empty table. With few vectors in the sample,
+fewer than eight a part, the number of parts is halved until there are as many.
 """
 
 from __future__ import annotations
@@ -48,11 +52,11 @@ class Index:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): v as doubles, rows that can be compared."""
+    """(id, v, version): v as doubles, rows that can be compared; ``version`` tells apart the vectors of one id."""
     fit = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     return vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull()
-    ).filter(F.coalesce(fit, F.lit(False)))
+    ).filter(F.coalesce(fit, F.lit(False))).withColumn("version", F.xxhash64("v"))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -139,8 +143,10 @@ def learn(x: np.ndarray, part: np.ndarray, graph: np.ndarray, how: Index) -> dic
 
 
 def fit(vectors: DataFrame, how: Index = Index()) -> dict[str, np.ndarray] | None:
-    """Model from a sample by hash of id; None without a vector."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(how.sample).select("v").collect()
+    """Model from a sample of distinct vectors below a threshold of their hash; None without a vector."""
+    every = max(1, vectors.count() // how.sample)
+    drawn = vectors.filter(F.pmod(F.xxhash64("version"), F.lit(every)) == 0).select("v").distinct().limit(2 * how.sample)
+    rows = sorted(drawn.collect(), key=lambda r: r.v) or vectors.select("v").limit(1).collect()
     if not rows:
         return None
     width = Counter(len(r.v) for r in rows).most_common(1)[0][0]
@@ -173,18 +179,23 @@ def filed(vectors: DataFrame, model: dict[str, np.ndarray], probes: int) -> Data
             n = min(probes, score.shape[1])
             best = np.argsort(-score, axis=1, kind="stable")[:, :n]
             taken = batch.take(pa.array(np.repeat(np.arange(len(x)), n)))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(best.ravel().astype(np.int64))], names=["id", "v", "part"])
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(best.ravel().astype(np.int64))], names=["id", "v", "version", "part"])
 
-    return vectors.mapInArrow(rows, "id long, v array<double>, part long")
+    return vectors.select("id", "v", "version").mapInArrow(rows, "id long, v array<double>, version long, part long")
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near one: exact, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
 def nearest_in_chunk(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """The ``k`` nearest candidates of each query, exact and with ties by id."""
-    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "version": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
     if not len(queries) or not len(candidates):
         return empty
-    q, c = np.stack(queries["v"].to_numpy()), np.stack(candidates["v"].to_numpy())
-    q_id, c_id = queries["id"].to_numpy(), candidates["id"].to_numpy()
+    q, c = scaled(np.stack(queries["v"].to_numpy())), scaled(np.stack(candidates["v"].to_numpy()))
+    q_id, c_id, version = queries["id"].to_numpy(), candidates["id"].to_numpy(), queries["version"].to_numpy()
     q_size, c_size = np.sqrt((q * q).sum(axis=1)), np.sqrt((c * c).sum(axis=1))
     rough = (q / q_size[:, None]) @ (c / c_size[:, None]).T
     rough[q_id[:, None] == c_id[None, :]] = -np.inf
@@ -196,7 +207,7 @@ def nearest_in_chunk(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) ->
         at = np.flatnonzero((rough[i] >= bar[i]) & (rough[i] > -np.inf))
         exact = (c[at] * q[i]).sum(axis=1) / (c_size[at] * q_size[i])
         best = np.lexsort((c_id[at], -exact))[:k]
-        out.append(pd.DataFrame({"query_id": q_id[i], "vec_id": c_id[at[best]], "score": exact[best]}))
+        out.append(pd.DataFrame({"query_id": q_id[i], "version": version[i], "vec_id": c_id[at[best]], "score": exact[best]}))
     return pd.concat(out) if out else empty
 
 
@@ -204,14 +215,14 @@ def search(vectors: DataFrame, queries: DataFrame, model: dict[str, np.ndarray],
     """(query_id, rank, vec_id, score)."""
     chunk = how.chunk
     of = materialize(filed(vectors, model, 1), "filed")
-    asked = materialize(filed(queries, model, how.probes), "asked")
+    asked = materialize(filed(queries.dropDuplicates(["id", "version"]), model, how.probes), "asked")
     # Chunks per part, from counts of the parts: as many rows as parts.
     cuts = of.groupBy("part").agg(F.ceil(F.count("*") / chunk).alias("cuts")).join(
         asked.groupBy("part").agg(F.ceil(F.count("*") / chunk).alias("asks")), "part"
     )
     cuts = materialize(cuts, "cuts")
     left = asked.join(F.broadcast(cuts), "part").withColumn("ask", F.pmod(F.xxhash64("id"), F.col("asks")))
-    left = left.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("part", "cut", "ask", "id", "v")
+    left = left.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("part", "cut", "ask", "id", "v", "version")
     right = of.join(F.broadcast(cuts), "part").withColumn("cut", F.pmod(F.xxhash64("id", F.lit(1)), F.col("cuts")))
     right = right.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1))).select("part", "cut", "ask", "id", "v")
 
@@ -219,8 +230,8 @@ def search(vectors: DataFrame, queries: DataFrame, model: dict[str, np.ndarray],
         return nearest_in_chunk(q, c, k)
 
     keys = ["part", "cut", "ask"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, version long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id", "version").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

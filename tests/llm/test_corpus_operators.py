@@ -291,16 +291,51 @@ def test_nearest(spark):
     rows += [(700, None), (750, [0.0] * 8), (800, [float("nan")] * 8), (850, [None] + [1.0] * 7), (900, [1.0]), (None, [1.0] * 8), (50, x[50].tolist())]
     vectors = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")), "vec_id", "embedding")
     how = ann.Index(sample=300, parts=8, probes=8, chunk=64, epochs=2)
-    found = ann.search(vectors, vectors.filter("id % 50 = 0").dropDuplicates(["id"]), ann.fit(vectors, how), how, 5).collect()
+    found = ann.search(vectors, vectors.filter("id % 50 = 0"), ann.fit(vectors, how), how, 5).collect()
     good = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
     for q in range(0, 600, 50):
         score = sorted((-(v * x[q]).sum() / np.sqrt((v * v).sum()) / np.sqrt((x[q] * x[q]).sum()), i) for i, v in good if i != q)[:5]
         mine = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
         assert [m[1] for m in mine] == [i for _, i in score]
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5]
         assert np.allclose([m[2] for m in mine], [-s for s, _ in score], atol=1e-12)
     assert ann.fit(vectors.limit(0), how) is None
 
 
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e-310])
+def test_nearest_at_any_size(spark, size, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, 6))
+    spark.createDataFrame([(i, (v * size).tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = ann.op6_learned_partitions(spark, str(tmp_path), ann.Index(parts=4, probes=4)).collect()
+    unit = (x * size) / np.abs(x * size).max(axis=1, keepdims=True)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    for q in (0, 50, 100):
+        score = unit @ unit[q]
+        score[q] = -2
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in found if r.query_id == q)
+        assert [m[1] for m in mine] == np.argsort(-score)[:5].tolist() and np.allclose([m[2] for m in mine], np.sort(score)[::-1][:5], atol=1e-9)
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    empty.write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert ann.op6_learned_partitions(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_registered_search_recall(spark):
+    """The registered query at its own settings against brute force."""
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    x = np.stack(table.embedding.to_numpy()).astype(float)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    found = ann.op6_learned_partitions(spark, sf).toPandas()
+    hits = total = 0
+    for row in np.flatnonzero(table.vec_id % 50 == 0):
+        score = x @ x[row]
+        score[row] = -2
+        best = set(table.vec_id[np.argsort(-score)[:5]])
+        hits, total = hits + len(best & set(found.vec_id[found.query_id == table.vec_id[row]])), total + 5
+    assert hits / total >= 0.9
+
+
 def test_network_gradients():
     texts = [b"a bc stupid def", b"hello world foo", b"x"]
     model = {k: v.astype(np.float64) for k, v in toxicity.fresh_model(1).items()}
