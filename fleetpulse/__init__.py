@@ -2,7 +2,7 @@
 
 from fleetpulse.config import DEFAULT, EngineConfig
 from fleetpulse.plans.evaluation import evaluate, replay
-from fleetpulse.plans.monitoring import flatten_predictions, monitor_batch, score
+from fleetpulse.plans.monitoring import flatten_predictions, monitor_batch, monitor_features, score
 from fleetpulse.plans.recalibration import recalibrate
 from fleetpulse.plans.training import train
 from fleetpulse.session import ship, tune
@@ -17,6 +17,7 @@ __all__ = [
     "flatten_predictions",
     "monitor",
     "monitor_batch",
+    "monitor_features",
     "monitor_stream",
     "recalibrate",
     "replay",

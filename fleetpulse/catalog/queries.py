@@ -460,8 +460,8 @@ def training_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def monitor_batch(spark: SparkSession, sf: str) -> DataFrame:
-    model, _ = _trained(spark, sf)
-    return _log_form(monitoring.flatten_predictions(monitoring.monitor_batch(_events(spark, sf), model)))
+    model, features = _trained(spark, sf)
+    return _log_form(monitoring.flatten_predictions(monitoring.monitor_features(features, model)))
 
 
 def recalibrate_rated(spark: SparkSession, sf: str) -> DataFrame:

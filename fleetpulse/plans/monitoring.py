@@ -31,6 +31,14 @@ def score(features: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calibr
     return picked.select(*scored.columns, health.alias("health_raw"), "calibration_source")
 
 
+def narrowed(scored: DataFrame, model: Model, cfg: EngineConfig, calibration: str) -> DataFrame:
+    """Scored rows without their features: what explains an alert is picked here, before any exchange."""
+    rows = pick_calibration(scored.drop("calibration_source"), model.pooled_row, model.local, calibration)
+    rows = rows.withColumn("contributors", explain.top_contributors(model.features, cfg))
+    kept = [c for c in scored.columns if c not in model.features]
+    return rows.select(*kept, "contributors")
+
+
 def _decide(scored: DataFrame, keys: list[str], cfg: EngineConfig) -> DataFrame:
     """From emissions to raw recommendations and streaks, per window partition."""
     d = smooth_health(scored, keys, "emission", "health_raw", cfg)
@@ -40,8 +48,10 @@ def _decide(scored: DataFrame, keys: list[str], cfg: EngineConfig) -> DataFrame:
 
 def _cold(features: DataFrame, add_score: Scorer, cfg: EngineConfig) -> DataFrame:
     # A Python stage forgets how rows were partitioned, so assets are exchanged
-    # once more behind it; every window after that shares the one exchange.
-    d = layout.number_rows(spread(add_score(features), ASSET), [ASSET], [F.col("tick")], "emission")
+    # once more behind it; every window after that shares the one exchange. The
+    # narrow scored rows are written once: what follows plans and recovers alone.
+    scored = materialize(add_score(features), "scored")
+    d = layout.number_rows(spread(scored, ASSET), [ASSET], [F.col("tick")], "emission")
     return policy.report_levels(_decide(d, [ASSET], cfg), cfg)
 
 
@@ -65,19 +75,46 @@ def decisions(
     calibration: str = "auto",
     scorer: Scorer | None = None,
 ) -> DataFrame:
-    """Every output with all intermediate values, unrounded where they were.
+    """Every output with its intermediate values, unrounded where they were, and its ``contributors``; no features.
 
     ``scorer`` replaces the forest by any function adding a ``score`` column.
     """
 
     def add_score(features: DataFrame) -> DataFrame:
-        return score(features, model, cfg, calibration, scorer)
+        return narrowed(score(features, model, cfg, calibration, scorer), model, cfg, calibration)
 
     cold, hot, _ = feature_parts(readings, cfg, clean)
     decided = _cold(cold, add_score, cfg)
     return decided if hot is None else decided.unionByName(_hot(hot, add_score, cfg))
 
 
+def decisions_from_features(
+    features: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calibration: str = "auto", scorer: Scorer | None = None
+) -> DataFrame:
+    """``decisions`` of a stored feature table: nothing is cleaned or built again.
+
+    The table has ``tick``, the number of each reading within its asset, as
+    ``build_features`` and the feature cache give it.
+    """
+
+    def add_score(rows: DataFrame) -> DataFrame:
+        return narrowed(score(rows, model, cfg, calibration, scorer), model, cfg, calibration)
+
+    split = layout.split_by_heat(features, cfg)
+    decided = _cold(split.cold, add_score, cfg)
+    if split.hot is None:
+        return decided
+    block = F.floor((F.col("tick") - 1) / F.lit(cfg.block_rows)).cast("long")
+    return decided.unionByName(_hot(split.hot.withColumn(BLOCK, block), add_score, cfg))
+
+
+def monitor_features(
+    features: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calibration: str = "auto", scorer: Scorer | None = None
+) -> DataFrame:
+    """``monitor_batch`` of a stored feature table."""
+    return present(decisions_from_features(features, model, cfg, calibration, scorer), model, cfg, calibration)
+
+
 def monitor_batch(
     readings: DataFrame,
     model: Model,
@@ -105,9 +142,13 @@ def debounce_levels(df: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 def present(decided: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calibration: str = "auto") -> DataFrame:
     """Rounded output row with nested probability, maintenance and contributors.
 
-    Feature baselines are only needed for alerting rows, so they join last.
+    Rows that carry features instead of ``contributors`` (those of a stream)
+    get their baselines here; only alerting rows need them.
     """
-    d = pick_calibration(decided.drop("calibration_source"), model.pooled_row, model.local, calibration)
+    d, why = decided, F.when(F.col("maintenance_level") != "OK", F.col("contributors"))
+    if "contributors" not in decided.columns:
+        d = pick_calibration(decided.drop("calibration_source"), model.pooled_row, model.local, calibration)
+        why = explain.contributors_when_alerting(model.features, cfg)
     risks = [x for h in cfg.horizons for x in (F.lit(float(h)), F.col(horizon_column(h)))]
     return d.select(
         ASSET,
@@ -127,7 +168,7 @@ def present(decided: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, calib
             F.col("maintenance_reason").alias("reason"),
             F.col("maintenance_trigger").alias("trigger"),
         ).alias("maintenance"),
-        explain.contributors_when_alerting(model.features, cfg).alias("top_contributors"),
+        why.alias("top_contributors"),
         "calibration_source",
     )
 

@@ -11,12 +11,13 @@ from fleetpulse.operators.health import calibrate
 from fleetpulse.operators.layout import ASSET
 from fleetpulse.plans.building import build_features
 from fleetpulse.plans.monitoring import Scorer
+from fleetpulse.session import materialize
 from fleetpulse.sources.registry import Model
 
 
-def eligibility(readings: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def eligibility(readings: DataFrame, cfg: EngineConfig = DEFAULT, clean: bool = True) -> DataFrame:
     """Per asset: clean rows, rated rows, and whether they suffice."""
-    counts = clean_readings(readings).groupBy(ASSET).agg(
+    counts = (clean_readings(readings) if clean else readings).groupBy(ASSET).agg(
         F.count("*").alias("n_clean"), F.count_if(within_rating(cfg)).alias("n_normal")
     )
     return counts.withColumn("eligible", F.col("n_normal") >= cfg.min_calibration_rows)
@@ -25,13 +26,15 @@ def eligibility(readings: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 def recalibration_report(readings: DataFrame, model: Model, cfg: EngineConfig = DEFAULT, scorer: Scorer | None = None) -> DataFrame:
     """Every asset with its clean and rated rows, ``eligible``, and the new anchors where it is.
 
-    Readings are filtered first and windows formed from what is left. Assets
-    with too few rated readings stay in the result with NULL anchors.
+    Readings are cleaned once and written, filtered, and windows formed from
+    what is left. Assets with too few rated readings stay in the result with
+    NULL anchors.
     """
-    features = build_features(readings, cfg, clean=True, rated_only=True)
+    cleaned = materialize(clean_readings(readings), "cleaned")
+    features = build_features(cleaned, cfg, clean=False, rated_only=True)
     scored = scorer(features) if scorer else score_rows(features, model.nodes, model.features)
     local = calibrate(scored, by_asset=True, features=model.features)
-    assets = eligibility(readings, cfg).withColumnRenamed(ASSET, "scope")
+    assets = eligibility(cleaned, cfg, clean=False).withColumnRenamed(ASSET, "scope")
     joined = assets.join(local, "scope", "left")
     anchors = [F.when(F.col("eligible"), F.col(c)).alias(c) for c in local.columns if c != "scope"]
     return joined.select(*assets.columns, *anchors)

@@ -44,7 +44,7 @@ STATE_SCHEMA = (
 )
 EMPTY_STATE = (-(1 << 62), 0, 0, 0.0, 0.0, [], [], [], [], 0, 0, 0)
 #: Microseconds of one entry of the waiting readings.
-SPAN = 2 * 3600 * 1_000_000
+SPAN = 12 * 3600 * 1_000_000
 OUTPUT_SCHEMA = (
     "asset_id string, ts timestamp, status string, reason string, vibration double, current double, temperature double, "
     "tick long, score double, health_raw double, output long, level double, n_fit long, slope double, "

@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetpulse.config import DEFAULT
+from fleetpulse.config import DEFAULT, FEATURES
 from fleetpulse.operators import layout
-from fleetpulse.plans import evaluation
-from fleetpulse.plans.monitoring import decisions, flatten_predictions, monitor_batch, write_predictions
+from fleetpulse.operators.features import feature_columns
+from fleetpulse.plans import evaluation, training
+from fleetpulse.plans.building import build_features
+from fleetpulse.plans.monitoring import decisions, flatten_predictions, monitor_batch, monitor_features, write_predictions
 from helpers import readings, stand_in
 
 # Short memories, so that small fixtures reach every stage and cross blocks.
@@ -45,6 +47,25 @@ def test_blocks_equal_whole_assets(spark):
     assert all((r["top_contributors"] == "") == (r["maintenance_level"] == "OK") for r in a)
 
 
+@pytest.mark.parametrize("cfg", [QUICK, replace(QUICK, hot_rows=100, block_rows=150)])
+def test_stored_features_give_the_same_predictions(spark, tmp_path, cfg):
+    df, model = fleet(spark, 300), stand_in(spark)
+    build_features(df, cfg).write.parquet(f"{tmp_path}/features")
+    stored = spark.read.parquet(f"{tmp_path}/features")
+    whole = flatten_predictions(monitor_batch(df, model, cfg, scorer=scorer), cfg)
+    again = flatten_predictions(monitor_features(stored, model, cfg, scorer=scorer), cfg).select(*whole.columns)
+    assert sorted(whole.collect(), key=str) == sorted(again.collect(), key=str)
+
+
+def test_features_are_found_in_a_table(spark):
+    table = build_features(fleet(spark, 200))
+    assert feature_columns(table) == list(FEATURES)
+    odd = table.withColumn("extra", F.lit(1.0))
+    assert feature_columns(odd.select(*reversed(odd.columns))) == [*FEATURES, "extra"]
+    with pytest.raises(ValueError, match="current_rms"):
+        training.fit(table.drop("current_rms"), "m")
+
+
 def test_prediction_log(spark, tmp_path):
     flat = flatten_predictions(monitor_batch(fleet(spark, 200), stand_in(spark), QUICK, scorer=scorer), QUICK)
     for run in ("one", "two", "two"):
