@@ -40,6 +40,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield batch.slice(i, rows)
 
 
+def byte_batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Cut batches at ``rows`` rows and at about ``limit`` bytes; a longer row is a batch of its own."""
+    for batch in small_batches(batches, rows):
+        step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
+        todo = [batch.slice(i, step) for i in range(0, batch.num_rows, step)]
+        while todo:
+            piece = todo.pop(0)
+            if piece.num_rows > 1 and piece.nbytes > 2 * limit:
+                half = piece.num_rows // 2
+                todo[:0] = [piece.slice(0, half), piece.slice(half)]
+            else:
+                yield piece
+
+
 def key_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Re-cut batches of a partition sorted by ``key`` so that no key is split.
 

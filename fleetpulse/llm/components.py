@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetpulse.session import materialize
+from fleetpulse.session import discard, materialize
 
 
 def star(links: DataFrame, large: bool) -> DataFrame:
@@ -25,14 +25,23 @@ def star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (a, b); root is the smallest node of its component."""
+    """(node, root) for every node of links (a, b); root is the smallest node of its component.
+
+    Ends when a round changes no row; each round's table is deleted when the
+    next one is written, the last one belongs to the result.
+    """
     now = materialize(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars"
     )
-    seen = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
-        if state == seen or state[0] == 0:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
-        now = materialize(star(star(now, large=True), large=False), "stars")
+    size = now.count()
+    while size:
+        after = materialize(star(star(now, large=True), large=False), "stars")
+        last, size = size, after.count()
+        same = size == last and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        discard(now)
+        now = after
+        if same:
+            break
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found.scratch_path = now.scratch_path
+    return found

@@ -31,12 +31,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from fleetpulse.llm import jaccard
 from fleetpulse.llm.common import DOCUMENT_COLUMNS, key_runs, small_batches, table
 from fleetpulse.llm.components import connected
-from fleetpulse.session import materialize, ship
+from fleetpulse.llm.substring_dedup import release
+from fleetpulse.session import discard, materialize, ship
 
 SHINGLE = 3
 SEED = 42
@@ -227,15 +228,24 @@ def groups(docs: DataFrame, id_col: str, fp_col: str = "fp") -> DataFrame:
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id, and of rows that share it the first written.
 
-    Groups are those of ``jaccard``; the fingerprints and bits above are the contract of op4 only.
+    Rows that agree in id and text are one document; of their other columns the
+    smallest by (lang, source, n_chars) stay. Groups are those of ``jaccard``;
+    the fingerprints and bits above are the contract of op4 only. Intermediate
+    tables are deleted before the stage returns; the result reads ``docs``.
     """
     documents = docs.select(*DOCUMENT_COLUMNS)
-    printed = jaccard.with_prefixes(documents, jaccard.common_hashes(documents)).withColumn("row", F.monotonically_increasing_id())
-    printed = materialize(printed, "prefixes")  # pins the row numbers
-    grouped = printed.select("doc_id", "row", "sig").join(jaccard.groups(printed), "sig")
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"))
-    first = grouped.groupBy("root").agg(F.min(order).alias("keep")).select(F.col("keep.row").alias("row"))
-    return printed.join(first, "row", "left_semi").select(*DOCUMENT_COLUMNS)
+    printed = jaccard.with_prefixes(documents, jaccard.frequency_levels(documents)).withColumn("row", F.monotonically_increasing_id())
+    printed = materialize(printed.withColumn("text_id", F.md5("text")), "prefixes")  # pins the row numbers
+    grouped = printed.select("doc_id", "row", "text_id", "sig").join(jaccard.groups(printed), "sig")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"), F.col("text_id"))
+    first = grouped.groupBy("root").agg(F.min(order).alias("keep"))
+    kept = materialize(first.select(F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_id").alias("kept_text")), "kept")
+    discard(printed)
+    release(spark)
+    named = documents.withColumn("text_id", F.md5("text"))
+    stays = named.join(kept, named["doc_id"].eqNullSafe(kept["kept_id"]) & named["text_id"].eqNullSafe(kept["kept_text"]), "left_semi")
+    copies = W.partitionBy("doc_id", "text_id").orderBy("lang", "source", "n_chars")
+    return stays.withColumn("copy", F.row_number().over(copies)).filter("copy = 1").select(*DOCUMENT_COLUMNS)
 
 
 def op4_simhash_groups(spark, sf_dir: str) -> DataFrame:

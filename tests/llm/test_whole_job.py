@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetpulse.llm import jaccard, mixing, simhash
+from fleetpulse.llm.common import byte_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,3 +65,55 @@ def test_mixing_stage_follows_the_permuted_epochs(spark):
     got = [r.doc_id for r in mixing.mixing_stage(spark, docs, "").collect()]
     assert got == want
     assert all(a != b for a, b in zip(got, got[1:]))
+
+
+def test_a_passage_of_many_texts_gives_few_candidates(spark):
+    """600 texts of 52 words share a passage of 12: it is no key, as it is frequent in the corpus, though no list names it."""
+    rng = np.random.default_rng(7)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 10**7, 20)), *passage, *(f"w{x}" for x in rng.integers(0, 10**7, 20))]) for _ in range(600)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    levels = jaccard.frequency_levels(docs)
+    rows = jaccard.with_prefixes(docs, levels).select("doc_id", "prefix").toPandas()
+    holders = {}
+    for d, keys in zip(rows.doc_id, rows.prefix):
+        for key in keys:
+            holders.setdefault(key, set()).add(d)
+    pairs = {(a, b) for h in holders.values() for a in h for b in h if a < b}
+    assert len(pairs) < 0.01 * 600 * 599 / 2
+
+
+def test_frequency_levels_count_every_text(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40, rng.integers(0, 60))) for _ in range(300)] + [None, "", "one"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS).repartition(7)
+    levels = jaccard.frequency_levels(docs)
+    counts = np.zeros(len(levels), dtype=np.int64)
+    for t in texts:
+        np.add.at(counts, (jaccard.shingles(t) % np.uint64(len(levels))).astype(np.int64), 1)
+    assert (levels == np.frexp(counts.astype(float))[1]).all() and levels.max() > 1
+
+
+def test_shared_keys_over_batch_borders():
+    """Rows of keys with several nodes, and the first node of each key, however the sorted partition is cut."""
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(rng.integers(1, 40))
+        key = np.sort(rng.integers(0, int(rng.integers(1, 20)), n))
+        table = pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(n) + 5), *(pa.array(np.arange(n, dtype=np.int32)) for _ in range(2)), pa.array(key)], names=["node", "n", "place", "key"]
+        )
+        cuts = np.sort(rng.integers(0, n + 1, int(rng.integers(0, 8))))
+        batches = [table.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, n])]
+        got = sorted(tuple(r.values()) for b in jaccard._shared(iter(batches)) for r in b.to_pylist())
+        first = {k: int(np.flatnonzero(key == k)[0]) for k in set(key.tolist())}
+        want = [(i + 5, i, i, k, first[k] + 5, first[k], first[k]) for i, k in enumerate(key.tolist()) if (key == k).sum() > 1]
+        assert got == sorted(want)
+
+
+def test_batches_are_cut_by_bytes():
+    sizes = [10, 20, 4000, 10, 90_000, 5, 5, 5] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * s for s in sizes])], names=["text"])
+    pieces = list(byte_batches(iter([batch]), limit=10_000))
+    assert [t for p in pieces for t in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert all(p.num_rows == 1 or p.nbytes <= 20_000 for p in pieces)
