@@ -117,3 +117,20 @@ def test_batches_are_cut_by_bytes():
     pieces = list(byte_batches(iter([batch]), limit=10_000))
     assert [t for p in pieces for t in p.column(0).to_pylist()] == batch.column(0).to_pylist()
     assert all(p.num_rows == 1 or p.nbytes <= 20_000 for p in pieces)
+
+
+def test_parity_maps_never_rule_out_a_link():
+    rng = np.random.default_rng(10)
+    kept = far = 0
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        one = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.union1d(one[rng.random(len(one)) < rng.uniform(0.3, 1)], rng.integers(0, 1 << 63, int(rng.integers(0, n)), dtype=np.uint64))
+        both = len(np.intersect1d(one, other))
+        maps = [np.frombuffer(jaccard.bitmap(x), dtype=np.uint64) for x in (one, other)]
+        apart = np.bitwise_count(maps[0] ^ maps[1]).sum().astype(np.int64)
+        assert apart <= len(one) + len(other) - 2 * both
+        near = jaccard.near_maps(np.array([len(one)], np.int32), np.array([len(other)], np.int32), np.array([apart]))[0]
+        assert near or 5 * both < 4 * (len(one) + len(other) - both)
+        kept, far = kept + near, far + (5 * both < 3 * (len(one) + len(other) - both))
+    assert kept < 300 and far > 100
