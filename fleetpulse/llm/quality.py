@@ -2,16 +2,22 @@
 
 Six counts of a text are always taken; two of them fail a document outright.
 The other rules compare a rate with a cutoff that is chosen per stratum
-(language) on labelled documents: a cutoff is admissible if an exact binomial
-test shows, at the chosen level shared out over every stratum, rate and cutoff
-that is tried (Bonferroni), that it rejects at most ``limit`` of the good
-documents.  The strictest admissible cutoff of each rate is used; without one
-the rate rejects nothing, so a stratum with few labels keeps its documents.
+(language) on labelled documents.  All cutoffs of all rates stand in one fixed
+order, from loose to strict, and step j puts the first j of them in force, so
+that what a step rejects the later ones reject too.  The steps of a stratum are
+tested in this order: an exact binomial test must show that all rates together
+reject at most ``limit`` of its good documents.  The first step that fails ends
+the sequence and the one before it decides, which needs no further correction
+over steps; the level is shared out over the strata by their labelled
+documents, which corrects over strata.  A stratum whose first step fails, as
+one with few labels does, keeps its documents.
 
 Defined results: a null text has no words and fails; labels that are neither 0
-nor 1 or whose document is missing are not used; a document labelled twice
-counts once per label row; null languages are a stratum of their own; an empty
-table gives an empty table.
+nor 1 or whose document is missing are not used; a document is good if a label
+row says so, and counts once however many rows of labels or documents repeat
+it, as its strictest row; null languages are a stratum of their own; an empty
+table gives an empty table; input columns named like a count or a verdict are
+replaced.
 """
 
 from __future__ import annotations
@@ -42,21 +48,38 @@ class Risk:
 CUTOFFS: dict[str, tuple[float, ...]] = {
     "symbol_rate": (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5),
     "repeat_rate": (0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45),
-    "dup_line_rate": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5),
-    "long_word_rate": (7.0, 7.5, 8.0, 8.5, 9.0, 10.0, 12.0, 15.0, 20.0),
+    "dup_lines_per_word": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5),
+    "mean_word_length": (7.0, 7.5, 8.0, 8.5, 9.0, 10.0, 12.0, 15.0, 20.0),
 }
 
 
+def steps() -> list[tuple[str, float]]:
+    """Cutoffs from loose to strict: the rates take turns by the share of their own cutoffs that lies behind them."""
+    places = [((i + 1) / len(values), n, r, c) for n, (r, values) in enumerate(CUTOFFS.items()) for i, c in enumerate(sorted(values, reverse=True))]
+    return [(r, c) for _, _, r, c in sorted(places)]
+
+
 def rates() -> dict[str, Column]:
     per_word = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {
         "symbol_rate": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
         "repeat_rate": F.col("n_repeat_words") / per_word,
-        "dup_line_rate": F.col("n_dup_lines") / per_word,
-        "long_word_rate": F.col("word_chars") / per_word,
+        "dup_lines_per_word": F.col("n_dup_lines") / per_word,
+        "mean_word_length": F.col("word_chars") / per_word,
     }
 
 
+def rejecting_step() -> Column:
+    """Number from 1 of the first step that rejects the row; one past the last if none does."""
+    firsts = []
+    for rate, value in rates().items():
+        first = F.lit(len(steps()) + 1)
+        for j, (r, c) in reversed(list(enumerate(steps(), 1))):
+            first = F.when(value > c, j).otherwise(first) if r == rate else first
+        firsts.append(first)
+    return F.least(*firsts)
+
+
 def repeated_word_count(w: str) -> Column:
     """Words covered by three-word windows that the text holds twice or more.
 
@@ -125,36 +148,38 @@ def binomial_tail(n: str, k: str, p: float) -> Column:
     return F.expr(code)
 
 
-def choose_cutoffs(stats: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """(stratum, rate, cutoff): the strictest admissible cutoffs.
+def choose_steps(stats: DataFrame, labels: DataFrame, risk: Risk = Risk(), stratum: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """(stratum, n, step): labelled good documents that pass the base rules, and the last step that is admitted (0: none).
 
-    ``stats`` is the table of counts.  The labelled good documents that pass the
-    base rules are the holdout; each is counted against every cutoff with plain
-    conditional sums, so the aggregate has one row per stratum and task.
+    ``stats`` is the table of counts.  Each good document is one number, the
+    step that rejects it first, so the aggregate has one row per stratum and
+    task.  A later step never rejects fewer, so the last step below the level
+    is also the end of the sequence.
     """
-    good = labels.filter(F.col("quality") == 1).select(F.col(id_col))
-    holdout = stats.filter(~F.col("base_failed")).join(good, id_col)
-    tries = [(r, c) for r, values in CUTOFFS.items() for c in values]
-    over = [F.sum((rates()[r] > c).cast("long")).alias(f"t{i}") for i, (r, c) in enumerate(tries)]
-    counted = holdout.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *over)
-    rows = F.array(*[F.struct(F.lit(r).alias("rate"), F.lit(c).alias("cutoff"), F.col(f"t{i}").alias("k")) for i, (r, c) in enumerate(tries)])
-    flat = counted.select("stratum", "n", F.explode(rows).alias("t")).select("stratum", "n", "t.*")
-    # As many rows as strata times cutoffs, listed in one to count the tests.
-    listed = flat.agg(F.collect_list(F.struct(*flat.columns)).alias("all")).select(F.explode("all").alias("t"), F.size("all").alias("tests"))
-    tested = listed.select("t.*", "tests").withColumn("p", binomial_tail("n", "k", risk.limit / len(CUTOFFS)))
-    return tested.filter(F.col("p") <= risk.level / F.col("tests")).groupBy("stratum", "rate").agg(F.min("cutoff").alias("cutoff"))
-
-
-def judge(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Add ``kept``.  The cutoffs are pivoted to one row per stratum; Spark checks their size before it broadcasts."""
-    wide = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rate") == r, F.col("cutoff"))).alias(f"_{r}") for r in CUTOFFS])
-    wide = materialize(wide.withColumnRenamed("stratum", "_stratum"), "cutoffs")
-    rejected = F.lit(False)
-    for r, value in rates().items():
-        rejected = rejected | F.coalesce(value > F.col(f"_{r}"), F.lit(False))
-    joined = stats.join(wide, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
-    kept = joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
-    return kept.drop("_stratum", *[f"_{r}" for r in CUTOFFS])
+    good = labels.filter(F.col("quality") == 1).select(F.col(id_col).alias("_id")).distinct()
+    holdout = stats.filter(~F.col("base_failed")).select(F.col(id_col).alias("_id"), F.col(stratum).alias("stratum"), rejecting_step().alias("_first"))
+    once = holdout.join(good, "_id").groupBy("_id", "stratum").agg(F.min("_first").alias("_first"))
+    rejected = [F.sum((F.col("_first") <= j).cast("long")).alias(f"t{j}") for j in range(1, len(steps()) + 1)]
+    counted = materialize(once.groupBy("stratum").agg(F.count("*").alias("n"), *rejected), "cutoffs")
+    tries = F.array(*[F.struct(F.lit(j).alias("step"), F.col(f"t{j}").alias("k")) for j in range(1, len(steps()) + 1)])
+    flat = counted.select("stratum", "n", F.explode(tries).alias("t")).select("stratum", "n", "t.*")
+    share = F.col("n") / counted.agg(F.sum("n")).scalar()
+    passed = binomial_tail("n", "k", risk.limit) <= risk.level * share
+    return flat.groupBy("stratum", "n").agg(F.max(F.when(passed, F.col("step")).otherwise(0)).alias("step"))
+
+
+def cutoffs_of(chosen: DataFrame) -> DataFrame:
+    """(stratum, rate, cutoff): the cutoffs in force at the admitted steps, for reports."""
+    listed = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(r).alias("rate"), F.lit(c).alias("cutoff")) for j, (r, c) in enumerate(steps(), 1)])
+    return chosen.select("stratum", "step", F.explode(listed).alias("c")).filter("c.j <= step").groupBy("stratum", "c.rate").agg(F.min("c.cutoff").alias("cutoff"))
+
+
+def judge(stats: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
+    """Add ``kept``.  One row per stratum is joined; Spark checks their size before it broadcasts."""
+    admitted = materialize(chosen.select(F.col("stratum").alias("_stratum"), F.col("step").alias("_step")), "cutoffs")
+    joined = stats.join(admitted, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    rejected = rejecting_step() <= F.coalesce(F.col("_step"), F.lit(0))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", "_step")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -164,15 +189,15 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     them before the first verdict; no text is shuffled.
     """
     counted = materialize(with_stats(docs.select(*DOCUMENT_COLUMNS)), "quality")
-    cutoffs = choose_cutoffs(counted.select("doc_id", "lang", *STATS, "base_failed"), table(spark, sf_dir, "labels"))
-    return judge(counted, cutoffs).filter("kept").select(*DOCUMENT_COLUMNS)
+    chosen = choose_steps(counted.select("doc_id", "lang", *STATS, "base_failed"), table(spark, sf_dir, "labels"))
+    return judge(counted, chosen).filter("kept").select(*DOCUMENT_COLUMNS)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     stats = materialize(with_stats(docs).drop("text"), "quality")
-    cutoffs = choose_cutoffs(stats, table(spark, sf_dir, "labels"))
-    return judge(stats, cutoffs).select("doc_id", *STATS, "base_failed", "kept")
+    chosen = choose_steps(stats, table(spark, sf_dir, "labels"))
+    return judge(stats, chosen).select("doc_id", *STATS, "base_failed", "kept")
 
 
 def oracle_sql(risk: Risk = Risk()) -> str:
@@ -180,12 +205,12 @@ def oracle_sql(risk: Risk = Risk()) -> str:
     rate = {
         "symbol_rate": "n_symbols / greatest(word_chars, 1)::DOUBLE",
         "repeat_rate": "n_repeat_words / greatest(n_words, 1)::DOUBLE",
-        "dup_line_rate": "n_dup_lines / greatest(n_words, 1)::DOUBLE",
-        "long_word_rate": "word_chars / greatest(n_words, 1)::DOUBLE",
+        "dup_lines_per_word": "n_dup_lines / greatest(n_words, 1)::DOUBLE",
+        "mean_word_length": "word_chars / greatest(n_words, 1)::DOUBLE",
     }
-    tries = ", ".join(f"('{r}', {c}::DOUBLE)" for r, values in CUTOFFS.items() for c in values)
+    tries = ", ".join(f"({j}, '{r}', {c}::DOUBLE)" for j, (r, c) in enumerate(steps(), 1))
     values = " ".join(f"WHEN '{r}' THEN {e}" for r, e in rate.items())
-    limit = risk.limit / len(CUTOFFS)
+    limit = risk.limit
     return rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, p, ws[p] || ' ' || ws[p + 1] || ' ' || ws[p + 2] AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM d)),
@@ -200,15 +225,20 @@ st AS (
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)
 ),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM st),
-c(rate, cutoff) AS (VALUES {tries}),
-h AS (SELECT f.* FROM f JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
-k AS (SELECT lang, rate, cutoff, count(*) AS n, count(*) FILTER ((CASE rate {values} END) > cutoff) AS k FROM h, c GROUP BY ALL),
+c(step, rate, cutoff) AS (VALUES {tries}),
+h AS (SELECT DISTINCT f.* FROM f JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+over AS (SELECT lang, doc_id, step FROM h, c WHERE (CASE rate {values} END) > cutoff),
+k AS (
+  SELECT g.lang, g.n, s.step, (SELECT count(DISTINCT doc_id) FROM over WHERE over.lang IS NOT DISTINCT FROM g.lang AND over.step <= s.step) AS k
+  FROM (SELECT lang, count(DISTINCT doc_id) AS n FROM h GROUP BY lang) g, c s
+),
 p AS (
-  SELECT lang, rate, cutoff, CASE WHEN k >= n * {limit} THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
+  SELECT lang, n, step, CASE WHEN k >= n * {limit} THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
     lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit})))) END AS p FROM k
 ),
-a AS (SELECT lang, rate, min(cutoff) AS cutoff FROM p WHERE p <= {risk.level} / (SELECT count(*) FROM p) GROUP BY ALL),
-bad AS (SELECT DISTINCT f.doc_id FROM f JOIN a ON a.lang IS NOT DISTINCT FROM f.lang WHERE (CASE a.rate {values} END) > a.cutoff)
+failed AS (SELECT lang, min(step) AS step FROM p WHERE p > {risk.level} * n / (SELECT count(DISTINCT (lang, doc_id)) FROM h) GROUP BY lang),
+a AS (SELECT g.lang, coalesce(failed.step - 1, {len(steps())}) AS step FROM (SELECT DISTINCT lang FROM h) g LEFT JOIN failed ON failed.lang IS NOT DISTINCT FROM g.lang),
+bad AS (SELECT DISTINCT f.doc_id FROM f JOIN a ON a.lang IS NOT DISTINCT FROM f.lang JOIN c ON c.step <= a.step WHERE (CASE c.rate {values} END) > c.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f
 """

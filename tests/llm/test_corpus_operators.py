@@ -109,26 +109,74 @@ def test_quality_counts_when_hashes_meet(spark, monkeypatch):
     assert [r.n_repeat_words for r in got] == [counts(t)[4] for t in texts]
 
 
+def brute_steps(rows, good_ids, limit=0.02, level=0.05):
+    """Last admitted step of each stratum: every step is judged on its own, in order, until one fails."""
+    def rejects(r, upto):
+        value = {"symbol_rate": r[4] / max(r[3], 1), "repeat_rate": r[6] / max(r[2], 1), "dup_lines_per_word": r[5] / max(r[2], 1), "mean_word_length": r[3] / max(r[2], 1)}
+        return any(value[rate] > c for rate, c in quality.steps()[:upto])
+
+    holdout = {}
+    for r in rows:
+        if r[0] in good_ids and not r[7]:
+            holdout.setdefault(r[1], {}).setdefault(r[0], []).append(r)
+    every, out = sum(map(len, holdout.values())), {}
+    for lang, documents in holdout.items():
+        n, step = len(documents), 0
+        while step < len(quality.steps()):
+            k = sum(any(rejects(r, step + 1) for r in copies) for copies in documents.values())
+            tail = sum(math.comb(n, i) * limit**i * (1 - limit) ** (n - i) for i in range(k + 1)) if k < n * limit else 1
+            if tail > level * n / every:
+                break
+            step += 1
+        out[lang] = (n, step)
+    return out
+
+
 def test_cutoffs_keep_their_promise(spark):
     rng = np.random.default_rng(0)
-    rows = [(i, "en" if i % 20 else "rare", 100, 500, int(rng.integers(0, 3)) if i % 4 else 200, 0, 0, False) for i in range(4000)]
+    names = [None, "de", "en", "en", "en", "en"]
+    rows = [
+        (i, "rare" if i % 40 == 0 else names[i % 6], 100, int(rng.integers(400, 690)), int(rng.integers(0, 30)) if i % 4 else 200,
+         int(rng.integers(0, 8)) if i % 9 == 0 else 0, int(rng.integers(0, 34)), i % 50 == 7)
+        for i in range(4000)
+    ]
+    rows += rows[100:300] + [(5, "en", 100, 500, 400, 0, 0, False)]  # repeated rows, and a bad row under a good id
     stats = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
-    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(4000)], "doc_id long, quality int, toxic int")
-    chosen = quality.choose_cutoffs(stats, labels)
-    got = {(r.stratum, r.rate): r.cutoff for r in chosen.collect()}
-    tests = 2 * sum(map(len, quality.CUTOFFS.values()))
-    limit = quality.Risk().limit / len(quality.CUTOFFS)
-    good = [r for r in rows if r[0] % 4 and r[1] == "en"]
-    for c in quality.CUTOFFS["symbol_rate"]:
-        k, n = sum(r[4] / r[3] > c for r in good), len(good)
-        tail = sum(math.comb(n, i) * limit**i * (1 - limit) ** (n - i) for i in range(k + 1)) if k < n * limit else 1
-        assert (got[("en", "symbol_rate")] <= c) == (tail <= 0.05 / tests)
-    assert not any(s == "rare" for s, _ in got)  # too few labels to promise anything
+    marks = [(i, int(i % 4 > 0), 0) for i in range(4000)]
+    labels = spark.createDataFrame([*marks, *marks[:1500], (-1, 1, 0), (None, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
+    chosen = quality.choose_steps(stats, labels)
+    got = {r.stratum: (r.n, r.step) for r in chosen.collect()}
+    want = brute_steps(rows, {i for i, q, _ in marks if q})
+    assert got == {lang: v for lang, v in want.items()}
+    assert 0 < got["en"][1] < len(quality.steps()) and got[None][1] > 0
+    assert "rare" not in got  # without a good label there is no promise, and nothing is rejected
+    in_force = {(r.stratum, r.rate): r.cutoff for r in quality.cutoffs_of(chosen).collect()}
+    assert in_force[("en", "symbol_rate")] == min(c for r, c in quality.steps()[: got["en"][1]] if r == "symbol_rate")
     judged = quality.judge(stats, chosen)
-    assert judged.filter("lang = 'rare' and kept").count() == 200
-    assert judged.filter("lang = 'en' and n_symbols = 200 and kept").count() == 0
-    nothing = quality.judge(stats, quality.choose_cutoffs(stats, labels.limit(0)))
-    assert nothing.filter("kept").count() == 4000
+    assert judged.count() == len(rows)
+    assert judged.filter("lang = 'rare' and not base_failed and not kept").count() == 0
+    for r in judged.filter("not base_failed").collect():
+        limits = {rate: c for (lang, rate), c in in_force.items() if lang == r.lang}
+        values = {"symbol_rate": r.n_symbols / r.word_chars, "repeat_rate": r.n_repeat_words / 100, "dup_lines_per_word": r.n_dup_lines / 100, "mean_word_length": r.word_chars / 100}
+        assert r.kept == (not any(values[rate] > c for rate, c in limits.items()))
+    nothing = quality.judge(stats, quality.choose_steps(stats, labels.limit(0)))
+    assert nothing.filter("kept").count() == sum(not r[7] for r in rows)
+
+
+def test_too_few_labels_reject_nothing(spark):
+    """One good document fewer than a step without any rejection needs, and just enough."""
+    enough = math.ceil(math.log(0.05) / math.log(0.98))
+    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    for n, step in ((enough - 1, 0), (enough, len(quality.steps()))):
+        stats = spark.createDataFrame([(i, "en", 100, 500, 0, 0, 0, False) for i in range(n)], schema)
+        labels = spark.createDataFrame([(i, 1) for i in range(n)], "doc_id long, quality int")
+        assert [(r.n, r.step) for r in quality.choose_steps(stats, labels).collect()] == [(n, step)]
+
+
+def test_quality_counts_replace_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d a b c", "en", -5, "x")], "doc_id long, text string, lang string, n_words long, base_failed string")
+    row = quality.with_stats(docs).first()
+    assert row.n_words == 7 and row.base_failed is True
 
 
 def brute_fingerprint(text):
