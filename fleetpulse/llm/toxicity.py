@@ -3,14 +3,16 @@
 Each word enters as the embedding of the hashed word beside the mean embedding
 of its hashed character n-grams.  Two gated recurrent networks read a window of
 words forwards and backwards, attention pools their states, and a logistic unit
-scores the pool.  All overlapping windows of a whole text are scored; the text
-gets the highest score.
+scores the pool.  Windows of ``WINDOW`` words start every ``STRIDE`` words of the
+whole text and at its last ``WINDOW`` words, so every passage of up to
+WINDOW - STRIDE + 1 words lies whole in a window; the text gets the highest
+score.
 
 Training runs in numpy on windows of a sample of labelled documents: at most
 ``Training.documents`` of the two classes, drawn by a hash of the id, with at most
 ``Training.windows`` windows from anywhere in each text.  Scoring runs in Arrow
-batches, vectorised over windows; the model (a few MB, fixed by its parameters)
-is broadcast.
+batches cut by bytes, vectorised over windows; the model (a few MB, fixed by its
+parameters) is broadcast.
 
 Defined results: a null or empty text has no window and scores 0; repeated rows
 score alike; labels other than 0 and 1 are not used; without labels of both
@@ -27,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fleetpulse.llm.common import small_batches, table
+from fleetpulse.llm.common import byte_batches, table
 from fleetpulse.session import ship
 
 THRESHOLD = 0.7
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 16
 GRAMS = (3, 5)
 EMBED, STATE, ATTEND = 8, 8, 8
-WINDOW, STRIDE = 40, 32
+WINDOW, STRIDE = 40, 8
+SAMPLE_STRIDE = 32  # between windows that training may draw
 CHUNK = 4096
+BATCH_BYTES = 2 << 20
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -111,17 +115,28 @@ def embed(model: dict[str, np.ndarray], features: dict[str, np.ndarray]) -> np.n
     return np.concatenate((model["words"][features["word"]], sums / count[:, None].astype(np.float32)), axis=1)
 
 
-def windows_of(document: np.ndarray, number: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document of each window, word numbers [windows, WINDOW]); -1 pads.  The last window of a text ends with it."""
-    count = np.bincount(document, minlength=texts)
-    begin = np.cumsum(count) - count
+def window_starts(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document of each window, its first word) from words per document.  The last window of a text ends with it."""
     per = np.where(count == 0, 0, np.maximum(1, -(-(count - WINDOW) // STRIDE) + 1))
-    owner = np.repeat(np.arange(texts), per)
+    owner = np.repeat(np.arange(len(count)), per)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    start = np.minimum(nth * STRIDE, np.maximum(count[owner] - WINDOW, 0))
+    return owner, np.minimum(nth * STRIDE, np.maximum(count[owner] - WINDOW, 0))
+
+
+def window_ids(count: np.ndarray, number: np.ndarray, owner: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Word numbers [windows, WINDOW]; -1 pads."""
+    if not len(number):
+        return np.full((len(owner), WINDOW), -1)
     at = start[:, None] + np.arange(WINDOW)
-    ids = np.where(at < count[owner][:, None], number[np.minimum(begin[owner][:, None] + at, max(len(number) - 1, 0))] if len(number) else -1, -1)
-    return owner, ids
+    begin = (np.cumsum(count) - count)[owner][:, None]
+    return np.where(at < count[owner][:, None], number[np.minimum(begin + at, len(number) - 1)], -1)
+
+
+def windows_of(document: np.ndarray, number: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document of each window, word numbers [windows, WINDOW])."""
+    count = np.bincount(document, minlength=texts)
+    owner, start = window_starts(count)
+    return owner, window_ids(count, number, owner, start)
 
 
 def fresh_model(seed: int) -> dict[str, np.ndarray]:
@@ -282,12 +297,23 @@ def score_texts(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
     if not len(number):
         return best
     x = embed(model, features)
-    owner, ids = windows_of(document, number, len(texts))
+    count = np.bincount(document, minlength=len(texts))
+    owner, start = window_starts(count)
     for i in range(0, len(owner), CHUNK):
-        np.maximum.at(best, owner[i : i + CHUNK], sigmoid(forward(model, x, ids[i : i + CHUNK])).astype(np.float64))
+        part = slice(i, i + CHUNK)
+        ids = window_ids(count, number, owner[part], start[part])
+        np.maximum.at(best, owner[part], sigmoid(forward(model, x, ids)).astype(np.float64))
     return best
 
 
+def score_batches(model: dict[str, np.ndarray] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, score) of batches of (id, text)."""
+    for batch in byte_batches(batches, BATCH_BYTES):
+        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+        scores = score_texts(model, texts) if model else np.zeros(len(texts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -306,7 +332,7 @@ def training_windows(docs: DataFrame, labels: DataFrame, how: Training = Trainin
             out = []
             for doc_id, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
-                starts = np.arange(0, max(len(words) - WINDOW, 0) + 1, STRIDE)
+                starts = np.arange(0, max(len(words) - WINDOW, 0) + 1, SAMPLE_STRIDE)
                 rng = np.random.default_rng([seed, abs(doc_id)])
                 for s in rng.permutation(starts)[:most] if words else []:
                     out.append((toxic, b" ".join(words[s : s + WINDOW]), doc_id))
@@ -330,10 +356,7 @@ def with_scores(docs: DataFrame, model: dict[str, np.ndarray] | None, id_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            scores = score_texts(sent.value, texts) if sent.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+        yield from score_batches(sent.value, batches)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(rows, "doc_id long, score double")
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -406,6 +408,57 @@ def test_network_gradients():
         assert abs((up - down) / 2e-4 - g[at]) < 1e-5, name
 
 
+def naive_window(model, words_in):
+    """One window through the network, word by word and unit by unit of the definition."""
+    _, number, features = toxicity.word_table([b" ".join(words_in)])
+    x = [toxicity.embed(model, features)[i] for i in number]
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    n, states = toxicity.STATE, {}
+    for way, at in (("f", 0), ("b", 3 * n)):
+        h, u = np.zeros(n), model[f"state_{way}"]
+        for i in range(len(x))[:: 1 if way == "f" else -1]:
+            v = x[i] @ model["in"][:, at : at + 3 * n] + model["in_bias"][at : at + 3 * n]
+            r, z = logistic(v[:n] + h @ u[:, :n]), logistic(v[n : 2 * n] + h @ u[:, n : 2 * n])
+            c = np.tanh(v[2 * n :] + r * (h @ u[:, 2 * n :]))
+            h = z * h + (1 - z) * c
+            states[way, i] = h
+    both = [np.concatenate((states["f", i], states["b", i])) for i in range(len(x))]
+    look = np.exp([np.tanh(s @ model["look"] + model["look_bias"]) @ model["pick"] for s in both])
+    return logistic(sum(w * s for w, s in zip(look / look.sum(), both)) @ model["out"] + model["out_bias"][0])
+
+
+def test_scores_equal_a_network_run_window_by_window():
+    model = {k: 3 * v for k, v in toxicity.fresh_model(4).items()}
+    texts = [prose(i, n, 60).encode() for i, n in enumerate((1, 7, 40, 41, 47, 48, 49, 133))] + [b"", b" \n "]
+    got = toxicity.score_texts(model, texts)
+    for text, score in zip(texts, got):
+        w = text.split()
+        starts = {min(s, max(len(w) - 40, 0)) for s in range(0, len(w), toxicity.STRIDE)}
+        want = max((naive_window(model, w[s : s + 40]) for s in starts), default=0.0)
+        assert abs(score - want) < 1e-5
+
+
+def test_every_short_passage_lies_whole_in_a_window():
+    longest = toxicity.WINDOW - toxicity.STRIDE + 1
+    assert longest >= 25
+    for n in range(1, 140):
+        _, start = toxicity.window_starts(np.array([n]))
+        for first in range(max(n - longest, 0) + 1):
+            last = min(first + longest, n)
+            assert any(s <= first and last <= s + toxicity.WINDOW for s in start)
+
+
+def test_long_texts_are_scored_in_bounded_memory():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(48)), "text": [prose(i % 5, 20000, 300) for i in range(48)]})
+    tracemalloc.start()
+    out = pa.Table.from_batches(toxicity.score_batches(toxicity.fresh_model(2), [batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 48 and peak < 400 << 20
+    scores = out.column("score").to_pylist()
+    assert np.allclose(scores[:5], scores[5:10], atol=1e-6)  # repeated texts score alike, whatever the batch
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(3)
     rows, labels = [], []
