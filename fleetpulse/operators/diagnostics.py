@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import ceil
 
@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fleetpulse.config import DEFAULT, FEATURES, EngineConfig
 from fleetpulse.functions.columns import sensor_label, sensor_of
-from fleetpulse.operators.forest import PRIME, PackedForest, check_finite, linear_hash, row_hash
+from fleetpulse.operators.forest import LEAF, PRIME, anomaly, check_finite, expected_path, linear_hash, row_hash
 
 REPEATS = 20
 REDUNDANT_ABOVE = 0.95
 GROUP_ROWS = 256
+STEP_ROWS = 32  # their step functions fit a processor's cache
 
 
 def reference_features(features: DataFrame, reference: DataFrame | None) -> DataFrame:
@@ -46,25 +47,25 @@ def permutation_importance(
     and repeat, so plain SQL finds the same donors.
 
     A shuffled feature changes a row's path only in trees that test it on that
-    path: each leaf knows the features met on the way to it, and only those rows
-    of those trees are walked again.  ``walk_share`` is their part of all walks.
+    path; ``walk_share`` is the part of all paths that it can change.  No path is
+    walked for a repeat: see ``Alternatives``.
     """
     spark = reference.sparkSession
     groups = max(1, ceil(n_rows / GROUP_ROWS))
-    forest = spark.sparkContext.broadcast(PackedForest(nodes))
     names, seed = list(features), cfg.seed
-    donors = {j: [linear_hash(f"{seed}|donor|{f}|{r}") for r in range(repeats)] for j, f in enumerate(names)}
+    forest = spark.sparkContext.broadcast(Alternatives(nodes, len(names)))
+    donors = np.array([[linear_hash(f"{seed}|donor|{f}|{r}") for r in range(repeats)] for f in names])
 
     def importance(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["place", "asset_id", "ts"])
         x, hashes = group[names].to_numpy(float), group["row_hash"].to_numpy()
         check_finite(x, names)
-        paths = Paths(forest.value, x)
-        changes, walks = np.zeros(len(names)), np.zeros(len(names), dtype=np.int64)
-        for j in range(len(names)):
-            orders = [np.argsort((hashes * first + second) % PRIME, kind="stable") for first, second in donors[j]]
-            changes[j], walks[j] = paths.changes(j, np.array([x[o, j] for o in orders]))
-        return pd.DataFrame({"feature": names, "change": changes, "n": len(x) * repeats, "walks": walks})
+        given = np.array([own[order] for own, order in zip(forest.value.slots(x), donor_orders(hashes, donors))])
+        changes, met = np.zeros(len(names)), np.zeros(len(names))
+        for a in range(0, len(x), STEP_ROWS):
+            part = forest.value.changes(x[a : a + STEP_ROWS], given[:, :, a : a + STEP_ROWS])
+            changes, met = changes + part[0], met + part[1]
+        return pd.DataFrame({"feature": names, "change": changes, "n": len(x) * repeats, "walks": met.astype(np.int64) * repeats})
 
     dealt = reference.select("asset_id", "ts", row_hash().alias("row_hash"), *names)
     of_group, of_place = linear_hash(f"{seed}|group"), linear_hash(f"{seed}|place")
@@ -81,27 +82,106 @@ def permutation_importance(
     )
 
 
-class Paths:
-    """The leaves that rows reach in every tree, and what changes when one feature does."""
-
-    def __init__(self, forest: PackedForest, x: np.ndarray):
-        self.forest, self.x = forest, x
-        self.leaf = forest.leaves(x)
-        self.total = sum(value.take(leaf) for value, leaf in zip(forest.value, self.leaf))
-        self.met = np.array([met.take(leaf) for met, leaf in zip(forest.met, self.leaf)])
-        self.base = forest.anomaly(self.total)
-
-    def changes(self, j: int, shuffled: np.ndarray) -> tuple[float, int]:
-        """Sum of |score change| over all rows and repeats (rows of ``shuffled``), and how many paths were walked again."""
-        totals, walks = np.tile(self.total, (len(shuffled), 1)), 0
-        for t, met in enumerate(self.met):
-            rows = np.flatnonzero(met >> j & 1)
-            if rows.size:
-                again = self.forest.walk(t, self.x[rows], j, shuffled[:, rows])
-                value = self.forest.value[t]
-                totals[:, rows] += value.take(again) - value.take(self.leaf[t, rows])
-                walks += again.size
-        return float(np.abs(self.forest.anomaly(totals) - self.base).sum()), walks
+def donor_orders(hashes: np.ndarray, donors: np.ndarray) -> Iterator[np.ndarray]:
+    """For each feature the rows in the order of every repeat's hash, a row for each repeat; equal hashes stay in place."""
+    place, bits = np.arange(len(hashes)), max(1, len(hashes).bit_length())
+    for numbers in donors:
+        ranks = (hashes * numbers[:, :1] + numbers[:, 1:]) % PRIME
+        yield np.sort(ranks << bits | place, axis=1) & ((1 << bits) - 1)
+
+
+class Alternatives:
+    """What a row's total path length becomes when one of its features takes any other value.
+
+    A leaf is within reach of a row by feature j alone if every test that the row
+    fails on the way to it is one of j, whatever the order of the tests.  Going
+    down all trees level by level with the set of features failed so far finds
+    the leaves within reach of all features at once.  A leaf holds for values of
+    j between two thresholds, the same for every row, so a row's total is a step
+    function of j over the sorted thresholds of j of all trees: one running sum
+    has it for every value, and a repeat costs one look.
+    """
+
+    def __init__(self, nodes: pd.DataFrame, n_features: int):
+        at = {key: i for i, key in enumerate(zip(nodes["tree_id"], nodes["node_id"]))}
+        trees = nodes["tree_id"].to_numpy()
+        feature, threshold = nodes["feature"].to_numpy(), nodes["threshold"].to_numpy(float)
+        below = [np.array([at.get(key, -1) for key in zip(trees, nodes[side])]) for side in ("left", "right")]
+        path = nodes["depth"].to_numpy() + expected_path(nodes["n_samples"].to_numpy())
+        here = np.flatnonzero(nodes["node_id"].to_numpy() == 0)
+        self.n_trees, self.sample = len(here), int(nodes["n_samples"].to_numpy()[here].max())
+        tree = np.arange(len(here))
+        low, high = np.full((len(here), n_features), -np.inf), np.full((len(here), n_features), np.inf)
+        self.bits = (1 << np.arange(n_features)).astype(np.int32 if n_features < 32 else np.int64)
+        self.levels, leaves = [], []
+        while len(here):
+            inner, ends = np.flatnonzero(feature[here] != LEAF), np.flatnonzero(feature[here] == LEAF)
+            leaves.append((tree[ends], path[here[ends]], low[ends], high[ends]))
+            f, cut, rows = feature[here[inner]], threshold[here[inner]], np.arange(len(inner))
+            self.levels.append((ends, inner, f, cut[:, None], self.bits[f][:, None]))
+            left_high, right_low = high[inner], low[inner]
+            left_high[rows, f] = np.minimum(left_high[rows, f], cut)
+            right_low[rows, f] = np.maximum(right_low[rows, f], cut)
+            low, high = np.concatenate([low[inner], right_low]), np.concatenate([left_high, high[inner]])
+            tree, here = np.tile(tree[inner], 2), np.concatenate([side[here[inner]] for side in below])
+        self.tree, self.value, low, high = (np.concatenate(column) for column in zip(*leaves))
+        self.met = (np.isfinite(low) | np.isfinite(high)).astype(float)
+        self.cuts = [np.sort(threshold[feature == j]) for j in range(n_features)]
+        # Slots of a feature: 0 up to its first threshold, one more behind each.
+        first = np.cumsum([0, *[len(cuts) + 1 for cuts in self.cuts]])
+        self.first, self.width = first[:-1], int(first[-1]) + 1
+        slots = [(np.searchsorted(c, low[:, j], "right"), np.searchsorted(c, high[:, j], "left") + 1) for j, c in enumerate(self.cuts)]
+        self.start = np.array([start + at for (start, _), at in zip(slots, self.first)], dtype=np.int32)
+        self.end = np.array([end + at for (_, end), at in zip(slots, self.first)], dtype=np.int32)
+
+    def slots(self, x: np.ndarray) -> np.ndarray:
+        """Slot of every value: a row for each feature."""
+        return np.array([np.searchsorted(c, x[:, j], "left") + self.first[j] for j, c in enumerate(self.cuts)], dtype=np.int32)
+
+    def failed(self, x: np.ndarray) -> np.ndarray:
+        """For each leaf and row the features, as bits, whose tests the row fails on the way there."""
+        columns = np.ascontiguousarray(x.T)
+        mask, found = np.zeros((self.n_trees, len(x)), dtype=self.bits.dtype), []
+        for ends, inner, f, cut, bit in self.levels:
+            found.append(mask[ends])
+            mask = mask[inner]
+            wrong = np.where(columns[f] > cut, bit, self.bits.dtype.type(0))  # for those that want to go left
+            mask, k = np.tile(mask, (2, 1)), len(inner)
+            mask[:k] |= wrong
+            np.bitwise_xor(wrong, bit, out=wrong)
+            mask[k:] |= wrong
+        return np.concatenate(found)
+
+    def changes(self, x: np.ndarray, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each feature the sum of |score change| over rows and repeats, and how many paths test it.
+
+        ``given`` has the slots of the values put in place: feature, repeat, row.
+        """
+        n, failed = len(x), self.failed(x).ravel()
+        near = np.flatnonzero(failed & (failed - 1) == 0)  # at most one feature
+        leaf, row = np.divmod(near, n)
+        failed = failed[near]
+        here, there = np.flatnonzero(failed == 0), np.flatnonzero(failed)
+        own = np.empty((self.n_trees, n))
+        own[self.tree[leaf[here]], row[here]] = self.value[leaf[here]]
+        met = np.bincount(leaf[here], minlength=len(self.tree)) @ self.met
+        leaf, row = leaf[there], row[there]
+        at = np.bitwise_count(failed[there] - 1) * np.int64(len(self.tree)) + leaf
+        start, end = self.start.take(at), self.end.take(at)
+        step = np.where(start < end, self.value.take(leaf) - own.take(self.tree.take(leaf) * n + row), 0.0)
+        row = row * self.width
+        steps = np.bincount(np.concatenate([row + start, row + end]), np.concatenate([step, -step]), n * self.width)
+        total, steps = own.sum(axis=0), np.cumsum(steps.reshape(n, self.width), axis=1)
+        rows, base = np.arange(n), self.anomaly(total)
+        sums = np.zeros(len(self.cuts))
+        for k, here in enumerate(self.slots(x)):
+            if len(self.cuts[k]):
+                change = steps[rows, given[k]] - steps[rows, here]
+                sums[k] = np.abs(self.anomaly(total + change) - base).sum()
+        return sums, met
+
+    def anomaly(self, total: np.ndarray) -> np.ndarray:
+        return anomaly(total, self.n_trees, self.sample)
 
 
 def importance_by_sensor(importances: DataFrame) -> DataFrame:

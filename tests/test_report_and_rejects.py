@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fleetpulse.catalog.queries import fixed_nodes
 from fleetpulse.config import DEFAULT, FEATURES
 from fleetpulse.operators import evaluate as E
-from fleetpulse.operators.diagnostics import permutation_importance
+from fleetpulse.operators.diagnostics import Alternatives, permutation_importance
 from fleetpulse.operators.forest import PRIME, PackedForest, fit_forest, linear_hash, row_hash
 from fleetpulse.sources.readings import read_csv_checked
 from test_forest import feature_rows
@@ -97,3 +97,19 @@ def test_importance_equals_walking_every_tree_again(spark, fixed):
         assert got[f]["importance"] == pytest.approx(total[f] / (300 * repeats), abs=1e-14)
     shares = [got[f]["walk_share"] for f in FEATURES]
     assert max(shares) < 0.5 and sum(shares) <= forest.depth  # a path meets at most as many features as it is deep
+
+
+def test_one_look_gives_the_total_for_any_value_of_a_feature(spark):
+    """Rows, values beyond every threshold and on one; no path is walked for a value."""
+    df = feature_rows(spark, 200)
+    nodes = fit_forest(df, 200, replace(DEFAULT, n_trees=5, tree_sample=64)).toPandas()
+    x, forest, steps = df.select(*FEATURES).toPandas().to_numpy()[:40], PackedForest(nodes), Alternatives(nodes, len(FEATURES))
+    base = forest.score(x)
+    for value in (-1e9, 0.0, float(nodes.loc[nodes["feature"] >= 0, "threshold"].iloc[0]), 1e9):
+        given = steps.slots(np.full_like(x, value))[:, None, :]
+        sums, met = steps.changes(x, given)
+        for j in range(len(FEATURES)):
+            y = x.copy()
+            y[:, j] = value
+            assert sums[j] == pytest.approx(np.abs(forest.score(y) - base).sum(), abs=1e-12)
+    assert 0 < met.max() <= 5 * len(x)
