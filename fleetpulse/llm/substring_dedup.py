@@ -278,22 +278,24 @@ def cut_texts(docs: DataFrame, length: int) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out = []
-            found = batch.column("found").to_pylist()
-            for data, marks in zip(encoded(batch.column("text")), found):
-                change = np.zeros(len(data) + 1, np.int64)
-                if marks and marks[0]["start"] < 0:
-                    change[0] = len(data) >= length
-                elif marks:
-                    start = np.array([m["start"] for m in marks], dtype=np.int64)
-                    mask = np.array([m["mask"] for m in marks], dtype=np.int64)
-                    bits = (mask[:, None] >> np.arange(length - GRAM + 1)) & 1
-                    where = (start[:, None] + np.arange(length - GRAM + 1))[bits == 1]
-                    np.add.at(change, where, 1)
-                    np.add.at(change, where + length, -1)
+            found = batch.column("found")
+            ends = np.where(found.is_valid().to_numpy(zero_copy_only=False), found.offsets.to_numpy()[1:], found.offsets.to_numpy()[:-1])
+            starts, masks = (found.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "mask"))
+            for data, a, b in zip(encoded(batch.column("text")), found.offsets.to_numpy(), ends):
+                n = len(data)
+                if a == b or (starts[a] < 0 and n < length):
+                    out.append((n, 0, 0, data))
+                    continue
+                if starts[a] < 0:
+                    out.append((n, n, 1, b""))
+                    continue
+                bits = masks[a:b, None] >> np.arange(length - GRAM + 1) & 1
+                mark, shift = np.nonzero(bits)
+                where = starts[a:b][mark] + shift
+                change = np.bincount(where, minlength=n + 1) - np.bincount(where + length, minlength=n + 1)
                 gone = np.cumsum(change[:-1]) > 0
-                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if marks else data
-                out.append((len(data), int(gone.sum()), spans, kept))
+                spans = int(np.count_nonzero(gone[1:] > gone[:-1])) + int(gone[0])
+                out.append((n, int(np.count_nonzero(gone)), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
             columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
