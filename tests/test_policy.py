@@ -114,3 +114,18 @@ def test_contributors(spark):
     assert row["j"] == "b (z=-5.0); c (z=+3.0); a (z=+1.0)"
     assert row["s"].startswith("driven mainly by b (z=-5.0), c")
     assert df.select(explain.z_scores(["a", "d"])).first()[0] == [1.0, 0.0]
+
+
+def test_places_are_the_contributors(spark):
+    """Ties, missing baselines, NaN and fewer features than asked for."""
+    nan, features = float("nan"), ["a", "b", "c", "d"]
+    rows = [(1.0, -2.0, 2.0, 0.5), (0.0, 0.0, 0.0, 0.0), (nan, 3.0, nan, -3.0), (-0.0, None, 1.0, nan)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").selectExpr(
+        "*", "map('a', 0D, 'b', 0D, 'c', 0D, 'd', double(NULL)) AS feat_mean", "map('a', 1D, 'b', 1D, 'c', 1D, 'd', 1D) AS feat_std"
+    )
+    for k in (3, 9):
+        cfg = replace(DEFAULT, top_k=k)
+        both = explain.with_places(df, "places", features, cfg).select(
+            explain.named_places(F.col("places"), features).alias("got"), explain.top_contributors(features, cfg).alias("want")
+        )
+        assert all(str(r.got) == str(r.want) and len(r.got) == min(k, 4) for r in both.collect())
