@@ -5,6 +5,7 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import functions as F
 
+from fleetpulse.catalog import queries
 from fleetpulse.config import DEFAULT
 from fleetpulse.operators import explain, policy
 from fleetpulse.plans.monitoring import debounce_levels
@@ -129,3 +130,25 @@ def test_places_are_the_contributors(spark):
             explain.named_places(F.col("places"), features).alias("got"), explain.top_contributors(features, cfg).alias("want")
         )
         assert all(str(r.got) == str(r.want) and len(r.got) == min(k, 4) for r in both.collect())
+
+
+def test_the_stand_in_builds_features_once(spark, monkeypatch, tmp_path):
+    """One feature table for baselines and monitor; one model for the runs of a stream."""
+    rows = spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_seconds(id * 60) AS ts", "id * 7 AS user_id", "if(id % 2 = 0, 'view', 'click') AS event_type",
+        "double(id * 37 % 101) AS value", "concat('{\"k\": ', id * 13 % 97, '}') AS props",
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    built, real, started = [], queries.build_features, []
+    monkeypatch.setattr(queries, "build_features", lambda *a, **k: built.append(1) or real(*a, **k))
+    assert queries.monitor_flat(spark, str(tmp_path)).count() == 2 * (200 - 9 - 14)
+    assert len(built) == 1
+
+    class Ended:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(queries.streaming, "start", lambda *a, **k: started.append(a[1]) or Ended())
+    parts = [queries._events(spark, str(tmp_path))] * 3
+    queries._streamed(spark, str(tmp_path), parts)
+    assert len(built) == 2 and len(started) == 3
