@@ -326,27 +326,31 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = materialize(wanted.join(first, "ident"), "wanted")
     discard(found)
     release(spark)
-    each = shared_contexts(named.select("ident", "doc", "key", "text"), wanted, length)
-    each = materialize(each.withColumn("c1", F.xxhash64("bytes")).withColumn("c2", F.xxhash64(F.lit(1), "bytes")), "contexts")
+    # Hashes of contexts do not compress: they are taken from the bytes where they are used, and not stored beside them.
+    each = materialize(shared_contexts(named.select("ident", "doc", "key", "text"), wanted, length), "contexts")
+    discard(wanted)
     release(spark)
-    hot = materialize(each.groupBy("h").agg(F.approx_count_distinct("c1").alias("n")).filter(F.col("n") > HOT).select("h"), "hot-anchors")
+    hot = each.groupBy("h").agg(F.approx_count_distinct(F.xxhash64("bytes")).alias("n")).filter(F.col("n") > HOT)
+    hot = materialize(hot.select("h"), "hot-anchors")
     cold = each.join(hot, "h", "left_anti").withColumn("deal", F.col("h"))
     single = (
         each.join(hot, "h", "left_semi")
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("windows") - 1)))
         .withColumn("bytes", F.substring(F.col("bytes"), F.col("i").cast("int") + 1, F.lit(length)))
         .withColumn("start", F.col("start") + F.col("i")).withColumn("windows", F.lit(1).cast("long")).drop("i")
-        .withColumn("c1", F.xxhash64("bytes")).withColumn("c2", F.xxhash64(F.lit(1), "bytes")).withColumn("deal", F.col("c1"))
+        .withColumn("deal", F.xxhash64("bytes"))
     )
-    columns = ["doc", "key", "start", "windows", "bytes", "c1", "c2", "deal"]
+    columns = ["doc", "key", "start", "windows", "bytes", "deal"]
     every = cold.select(*columns).unionByName(single.select(*columns))
-    distinct = materialize(every.groupBy("deal", "bytes", "c1", "c2").agg(F.min("doc").alias("least")), "distinct-contexts")
+    named_by = [F.xxhash64("bytes").alias("c1"), F.xxhash64(F.lit(1), "bytes").alias("c2")]
+    distinct = every.groupBy("deal", "bytes").agg(F.min("doc").alias("least"))
+    distinct = materialize(distinct.select("deal", "bytes", *named_by, "least"), "distinct-contexts")
     release(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // TASK_CONTEXTS))
     masked = masks(distinct, parts, length)
     # Written, so that the next join is a plain one, which adaptive execution can split at a context that many have.
     per_context = materialize(distinct.select("c1", "c2", "least").join(masked, ["c1", "c2"], "left"), "masks")
-    placed = every.select("doc", "key", "start", "windows", "c1", "c2").join(per_context, ["c1", "c2"])
+    placed = every.select("doc", "key", "start", "windows", *named_by).join(per_context, ["c1", "c2"])
     all_bits = F.expr("shiftleft(1L, cast(windows AS int)) - 1")
     mask = F.when(F.col("doc") > F.col("least"), all_bits).otherwise(F.col("mask"))
     marks = placed.select("key", "start", mask.alias("mask")).filter("mask is not null").groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
@@ -354,7 +358,7 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A copy goes whole: its mark is a start of -1.
     whole = F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("mask")))
     marks = materialize(marks.unionByName(copies.select("key", whole.alias("found")).distinct()), "marks")
-    for written in (wanted, each, distinct, per_context):
+    for written in (each, distinct, per_context):
         discard(written)
     release(spark)
     return cut_texts(named.join(marks, "key", "left"), length)

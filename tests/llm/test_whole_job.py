@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fleetpulse.llm import jaccard, mixing, simhash
+from fleetpulse.llm import jaccard, mixing, simhash, substring_dedup
 from fleetpulse.llm.common import byte_batches
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -134,3 +134,24 @@ def test_parity_maps_never_rule_out_a_link():
         assert near or 5 * both < 4 * (len(one) + len(other) - both)
         kept, far = kept + near, far + (5 * both < 3 * (len(one) + len(other) - both))
     assert kept < 300 and far > 100
+
+
+def test_substring_contexts_are_stored_without_hashes(spark, monkeypatch):
+    """What does not compress is not stored beside the bytes, and what was asked for is deleted before contexts are compared."""
+    from pathlib import Path
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{i} head {passage} tail {i * i}") for i in range(20)], "doc_id long, text string")
+    written, gone = {}, []
+
+    def told(df, label):
+        if label == "distinct-contexts":
+            gone.append(not Path(written["wanted"].scratch_path).exists())
+        written[label] = real(df, label)
+        return written[label]
+
+    real = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", told)
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.remove_earlier(docs).collect()}
+    assert removed[0] == 0 and all(removed[i] >= len(passage) for i in range(1, 20))
+    assert written["contexts"].columns == ["doc", "key", "h", "start", "windows", "bytes"] and gone == [True]
