@@ -11,9 +11,10 @@ places leave room for the overlap that 0.8 needs.  Any order is right; this one
 goes from rare to frequent by counts over the whole corpus (``frequency_levels``),
 so that a passage of many texts is no key of theirs.
 
-Each bucket first links its members to its first one; those links are confirmed
-and joined to components.  Then all pairs of different components are
-candidates, larger buckets in blocks, unless their parity maps differ in more
+Pairs that are known to be near (``simhash.near_pairs``) are confirmed first.
+Then each bucket links its members to its first one, unless they are joined
+already; those links are confirmed too and joined to components.  Then all pairs
+of different components are candidates, larger buckets in blocks, unless their parity maps differ in more
 bits than linked sets can differ in elements.  Every candidate is confirmed by its
 whole sets, so no link is lost and none is wrong (up to 64-bit hashes of words).
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from fleetpulse.llm.common import byte_batches, key_runs
+from fleetpulse.llm.common import byte_batches, key_runs, majority
 from fleetpulse.llm.components import connected
 from fleetpulse.llm.substring_dedup import release
 from fleetpulse.session import discard, materialize, ship
@@ -122,10 +123,10 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Add the set's signature, size, parity map and prefix; row by row, no shuffle."""
+    """Add the set's signature, size, parity map, prefix and fingerprint; row by row, no shuffle."""
     spark = ship(docs.sparkSession)
     held = spark.sparkContext.broadcast(levels)
-    more = [T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("map", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    more = [T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("map", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches):
@@ -133,8 +134,9 @@ def with_prefixes(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             columns = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([prefix(s, held.value).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array(np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "sig", "n", "map", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "sig", "n", "map", "prefix", "fp"])
 
     return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, *more]))
 
@@ -243,16 +245,29 @@ def shared_keys(nodes: DataFrame) -> DataFrame:
     return materialize(rows.sortWithinPartitions("key", "node").mapInArrow(_shared, kind), "shared-keys")
 
 
-def groups(printed: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(sig, root) of the table ``printed`` of (row, text, sig, n, prefix): equal roots are joined by links."""
+def groups(printed: DataFrame, near: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(sig, root) of the table ``printed`` of (row, text, sig, n, prefix): equal roots are joined by links.
+
+    ``near`` are pairs (a > b) of first rows of their ``sig`` to confirm before
+    any other, a written table; it is deleted.
+    """
     spark = printed.sparkSession
+    if near is None:
+        near = materialize(spark.createDataFrame([], "a long, b long"), "near-pairs")
+    close = confirmed(near, printed)
+    joined = connected(close)
     nodes = materialize(printed.groupBy("sig").agg(F.min("row").alias("row")), "nodes")
     keyed = shared_keys(printed.select("row", "n", "prefix").join(nodes.select("row"), "row", "left_semi"))
     release(spark)
     room = F.least(F.col("n") - F.col("place"), F.col("first_n") - F.col("first_place"))
     stars = keyed.filter((F.col("node") > F.col("first")) & alike(F.col("n"), F.col("first_n"), room))
-    stars = materialize(stars.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "candidates")
-    links = confirmed(stars, printed)
+    stars = stars.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    ends = [joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
+    stars = stars.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(apart).select("a", "b")
+    stars = materialize(stars.join(near, ["a", "b"], "left_anti"), "candidates")
+    stars_confirmed = confirmed(stars, printed)
+    links = close.unionByName(stars_confirmed)
     roots = connected(links)
     rooted = keyed.select("key", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
@@ -263,13 +278,13 @@ def groups(printed: DataFrame, bucket: int = BUCKET) -> DataFrame:
         "key", "node", "root", "n", "place", "map", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
     )
-    rest = materialize(in_buckets(cut, "key", "low", "high").distinct().join(stars, ["a", "b"], "left_anti"), "candidates")
-    for done in (keyed, mixed, stars, roots):
+    rest = materialize(in_buckets(cut, "key", "low", "high").distinct().join(stars.unionByName(near), ["a", "b"], "left_anti"), "candidates")
+    for done in (keyed, mixed, stars, near, joined, roots):
         discard(done)
     release(spark)
     more = confirmed(rest, printed)
     final = connected(links.unionByName(more))
-    for done in (rest, links, more):
+    for done in (rest, close, stars_confirmed, more):
         discard(done)
     found = nodes.join(final.select(F.col("node").alias("row"), "root"), "row", "left")
     return found.select("sig", F.coalesce("root", "row").alias("root"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from fleetpulse.llm import jaccard
-from fleetpulse.llm.common import DOCUMENT_COLUMNS, key_runs, small_batches, table
+from fleetpulse.llm.common import DOCUMENT_COLUMNS, key_runs, majority, small_batches, table
 from fleetpulse.llm.components import connected
 from fleetpulse.llm.substring_dedup import release
 from fleetpulse.session import discard, materialize, ship
@@ -59,12 +59,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 4096):
-        part = hashes[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint16)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    return majority(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64))
 
 
 def with_fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
@@ -225,18 +220,41 @@ def groups(docs: DataFrame, id_col: str, fp_col: str = "fp") -> DataFrame:
     return rooted.select("fp", "root").join(least, "root")
 
 
+def near_pairs(printed: DataFrame) -> DataFrame:
+    """Pairs of rows (a > b) of ``printed`` (row, sig, fp) that the fingerprints bring together.
+
+    Of texts with one fingerprint each goes with the first; different
+    fingerprints come as ``links`` finds them by pigeonring. A row is the first
+    of its ``sig``.
+    """
+    nodes = materialize(printed.groupBy("sig").agg(F.min("row").alias("row"), F.first("fp").alias("fp")).select("row", "fp"), "printed-nodes")
+    prints = materialize(nodes.groupBy("fp").agg(F.min("row").alias("first")), "prints")
+    found = links(prints.select("fp"))
+    ends = [prints.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}")) for c in ("a", "b")]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b"))
+    same = nodes.join(prints, "fp").filter(F.col("row") > F.col("first")).select(F.col("row").alias("a"), F.col("first").alias("b"))
+    pairs = materialize(across.unionByName(same).distinct(), "near-pairs")
+    for done in (nodes, prints):
+        discard(done)
+    release(printed.sparkSession)
+    return pairs
+
+
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id, and of rows that share it the first written.
 
     Rows that agree in id and text are one document; of their other columns the
-    smallest by (lang, source, n_chars) stay. Groups are those of ``jaccard``;
-    the fingerprints and bits above are the contract of op4 only. Intermediate
-    tables are deleted before the stage returns; the result reads ``docs``.
+    smallest by (lang, source, n_chars) stay. Texts are linked by the similarity
+    of ``jaccard``: fingerprints of five-word shingles find pairs by pigeonring,
+    which are confirmed by their whole sets, and prefixes find the links that
+    lie beyond MAX_BITS. The shingles and links of op4 are those of its contract.
+    Intermediate tables are deleted before the stage returns; the result reads
+    ``docs``.
     """
     documents = docs.select(*DOCUMENT_COLUMNS)
     printed = jaccard.with_prefixes(documents, jaccard.frequency_levels(documents)).withColumn("row", F.monotonically_increasing_id())
     printed = materialize(printed.withColumn("text_id", F.md5("text")), "prefixes")  # pins the row numbers
-    grouped = printed.select("doc_id", "row", "text_id", "sig").join(jaccard.groups(printed), "sig")
+    grouped = printed.select("doc_id", "row", "text_id", "sig").join(jaccard.groups(printed, near_pairs(printed)), "sig")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("row"), F.col("text_id"))
     first = grouped.groupBy("root").agg(F.min(order).alias("keep"))
     kept = materialize(first.select(F.col("keep.doc_id").alias("kept_id"), F.col("keep.text_id").alias("kept_text")), "kept")

@@ -136,6 +136,40 @@ def test_parity_maps_never_rule_out_a_link():
     assert kept < 300 and far > 100
 
 
+def test_near_dedup_takes_pairs_from_fingerprints(spark, monkeypatch):
+    """The stage's first candidates are the links of ``simhash``: all texts within its bits come together."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for _ in range(12):
+        base = fresh(400)
+        for i in range(4):
+            texts.append(" ".join(base[:i] + ["other"] + base[i + 1 :]))
+        texts.append(texts[-1])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    taken, real, groups = [], simhash.near_pairs, jaccard.groups
+    monkeypatch.setattr(simhash, "near_pairs", lambda printed: taken.append(([tuple(r) for r in printed.select("row", "text", "sig", "fp").collect()], real(printed))) or taken[0][1])
+    monkeypatch.setattr(simhash.jaccard, "groups", lambda printed, near: taken.append([tuple(r) for r in near.collect()]) or groups(printed, near))
+    assert len(simhash.near_dedup_stage(spark, docs, "").collect()) == 12
+    (rows, _), pairs = taken
+    first = {}
+    for row, _, sig, fp in sorted(rows):
+        first.setdefault(bytes(sig), (row, fp & (1 << 64) - 1))
+    root = {row: row for row, _ in first.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    assert pairs and all(a > b and a in root and b in root for a, b in pairs)
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    near = [(a, b) for a, p in first.values() for b, q in first.values() if a < b and (p ^ q).bit_count() <= simhash.MAX_BITS]
+    assert near and all(find(a) == find(b) for a, b in near)
+
+
 def test_substring_contexts_are_stored_without_hashes(spark, monkeypatch):
     """What does not compress is not stored beside the bytes, and what was asked for is deleted before contexts are compared."""
     from pathlib import Path
