@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import numpy as np
 
@@ -17,7 +18,7 @@ from fleetpulse.functions.columns import normal_cdf_values
 from fleetpulse.operators.features import FLAT_SPREAD, LARGEST
 from fleetpulse.operators.forecast import MIN_RESIDUAL, NO_RISK, TINY_RESIDUAL
 
-TREND_BATCH = 256
+TREND_BATCH = 64
 
 
 def rolling_features(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,15 +26,17 @@ def rolling_features(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
 
     Returns (windows x 30 features, usable mask).
     """
-    windows = np.lib.stride_tricks.sliding_window_view(values, n, axis=0)  # windows x sensors x n
+    by_sensor = np.ascontiguousarray(values.T)
+    back = [by_sensor[:, n - 1 - k : len(values) - k] for k in range(n)]  # sensors x windows, the newest reading first
     with np.errstate(all="ignore"):
-        mean, high, low = windows.mean(axis=2), windows.max(axis=2), windows.min(axis=2)
+        mean, high, low = sum(back) / n, reduce(np.maximum, back), reduce(np.minimum, back)
         spread = high - low
-        usable = ((spread > np.abs(mean) * FLAT_SPREAD) & (spread <= LARGEST)).all(axis=1)
-        d = windows - mean[:, :, None]
-        m2, m3, m4 = (d**2).mean(axis=2), (d**3).mean(axis=2), (d**4).mean(axis=2)
-        rms = np.sqrt((windows**2).mean(axis=2))
-        position = np.arange(n) - (n - 1) / 2.0
+        usable = ((spread > np.abs(mean) * FLAT_SPREAD) & (spread <= LARGEST)).all(axis=0)
+        d = [x - mean for x in back]
+        squares = [x * x for x in d]
+        m2, m3 = sum(squares) / n, sum(q * x for q, x in zip(squares, d)) / n
+        m4 = sum(q * x * x for q, x in zip(squares, d)) / n
+        rms = np.sqrt(sum(x * x for x in back) / n)
         per_sensor = {
             "mean": mean,
             "std": np.sqrt(m2 * n / (n - 1)),
@@ -43,12 +46,12 @@ def rolling_features(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
             "kurtosis": (m4 / m2**2 * (n + 1) - 3 * (n - 1)) * (n - 1) / ((n - 2) * (n - 3)),
             "skew": m3 / (m2 * np.sqrt(m2)) * math.sqrt(n * (n - 1)) / (n - 2),
             "crest_factor": high / rms,
-            "trend_slope": (d * position).sum(axis=2) / (n * (n * n - 1) / 12.0),
+            "trend_slope": sum(x * ((n - 1) / 2.0 - k) for k, x in enumerate(d)) / (n * (n * n - 1) / 12.0),
         }
-        columns = {f"{s}_{stat}": v[:, i] for stat, v in per_sensor.items() for i, s in enumerate(SENSORS)}
+        columns = {f"{s}_{stat}": v[i] for stat, v in per_sensor.items() for i, s in enumerate(SENSORS)}
         for a, b in SENSOR_PAIRS:
             i, j = SENSORS.index(a), SENSORS.index(b)
-            columns[f"{a}_{b}_corr"] = (d[:, i] * d[:, j]).mean(axis=1) / np.sqrt(m2[:, i] * m2[:, j])
+            columns[f"{a}_{b}_corr"] = sum(x[i] * x[j] for x in d) / n / np.sqrt(m2[i] * m2[j])
     return np.column_stack([columns[f] for f in FEATURES]), usable
 
 
@@ -78,11 +81,14 @@ def trend_fits(x: np.ndarray, y: np.ndarray, new: int, cfg: EngineConfig) -> np.
     out = np.empty((new, 4))
     for a in range(0, new, TREND_BATCH):
         b = slice(a, min(a + TREND_BATCH, new))
-        w = ww[b]
-        n = w.sum(axis=1)
-        dx = (wx[b] - ((wx[b] * w).sum(axis=1) / n)[:, None]) * w
-        dy = (wy[b] - ((wy[b] * w).sum(axis=1) / n)[:, None]) * w
-        sxx, sxy, syy = (dx * dx).sum(axis=1), (dx * dy).sum(axis=1), (dy * dy).sum(axis=1)
+        if total - new + a >= pad:  # whole windows only
+            n = np.full(b.stop - a, float(size))
+            dx, dy = (v - v.mean(axis=1, keepdims=True) for v in (wx[b], wy[b]))
+        else:
+            w = ww[b]
+            n = w.sum(axis=1)
+            dx, dy = ((v - ((v * w).sum(axis=1) / n)[:, None]) * w for v in (wx[b], wy[b]))
+        sxx, sxy, syy = (np.einsum("ij,ij->i", p, q) for p, q in ((dx, dx), (dx, dy), (dy, dy)))
         with np.errstate(all="ignore"):
             slope = np.where((n >= cfg.min_points) & (sxx > 0), sxy / sxx, np.nan)
             residual = np.sqrt(np.maximum(syy - slope * sxy, 0.0) / n)

@@ -2,16 +2,18 @@
 
 One state per asset: the last readings, the filter, the trend history and the
 hysteresis. Readings that wait for the watermark lie in a map state of their
-own, by the span of time (``SPAN``) they fall into. Once the watermark has passed
-them they are handled in time order, span by span, so that a backlog of an asset
-is never gathered: a task holds one Arrow batch of arrivals and the readings of
-one span. Jitter does not change the result; what arrives after its place was
+own, as runs in time order, cut into pages of whole spans of time (``SPAN``). A
+page is written once and read once. When the watermark has passed their first
+spans, the runs are merged page by page and handled span by span, so that a backlog of an asset
+is never gathered: a task holds the arrivals of one run (``RUN_ROWS``), or a page of each
+run and the readings of one span, and predicts ``PIECE_ROWS`` readings or more at a time. Jitter does not change the result; what arrives after its place was
 taken is reported as late. Everything that needs one row only (forecast, texts,
 explanation, rounding) is the batch code applied behind the stateful operator.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import Any
 
@@ -29,6 +31,7 @@ from fleetpulse.operators.forecast import add_forecast
 from fleetpulse.operators.forest import PackedForest
 from fleetpulse.operators.health import pick_calibration
 from fleetpulse.plans.monitoring import flatten_predictions, present
+from fleetpulse.session import spread
 from fleetpulse.sources.readings import READING_SCHEMA
 from fleetpulse.sources.registry import Model
 from fleetpulse.streaming import kernel
@@ -40,11 +43,13 @@ SIDE_SCHEMA = StructType([*READING_SCHEMA.fields, StructField("reason", StringTy
 STATE_SCHEMA = (
     "last_ts long, tick long, emissions long, level double, variance double, "
     "recent array<double>, seeds array<double>, trend_x array<double>, trend_y array<double>, "
-    "candidate int, streak int, held int"
+    "candidate int, streak int, held int, runs long"
 )
-EMPTY_STATE = (-(1 << 62), 0, 0, 0.0, 0.0, [], [], [], [], 0, 0, 0)
-#: Microseconds of one entry of the waiting readings.
+EMPTY_STATE = (-(1 << 62), 0, 0, 0.0, 0.0, [], [], [], [], 0, 0, 0, 0)
+#: Microseconds of a span: the waiting readings are handled in such pieces.
 SPAN = 12 * 3600 * 1_000_000
+#: Arrivals that are written as one run, readings of a page, and of one prediction; a page or a prediction may hold more.
+RUN_ROWS, PAGE_ROWS, PIECE_ROWS = 262_144, 4_096, 8_192
 OUTPUT_SCHEMA = (
     "asset_id string, ts timestamp, status string, reason string, vibration double, current double, temperature double, "
     "tick long, score double, health_raw double, output long, level double, n_fit long, slope double, "
@@ -60,17 +65,18 @@ class MonitorProcessor(StatefulProcessor):
 
     def __init__(self, scorer: Any, cfg: EngineConfig, clean: bool):
         self.scorer, self.cfg, self.clean = scorer, cfg, clean
+        self.ordered: list[tuple[np.ndarray, np.ndarray]] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("monitor", STATE_SCHEMA)
-        self.waiting = handle.getMapState("waiting", "span long", "ts array<long>, readings array<double>")
+        self.waiting = handle.getMapState("waiting", "span long, run long", "readings binary")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        s = self._load()
+        s, arrived, n = self._load(), [], 0
         for batch in rows:
             no_place = batch["ts"].isna() | (key[0] is None)
             if no_place.any():
@@ -80,7 +86,13 @@ class MonitorProcessor(StatefulProcessor):
             late = ts <= s["last_ts"]
             if late.any():
                 yield self._side(key[0], batch[list(SENSORS)].to_numpy(float)[late], ts[late], LATE, "behind the last handled reading")
-            self._wait(batch[list(PENDING_COLUMNS)].to_numpy(float)[~late], ts[~late])
+            arrived.append((batch[list(PENDING_COLUMNS)].to_numpy(float)[~late], ts[~late]))
+            n += len(arrived[-1][1])
+            if n >= RUN_ROWS:
+                self._wait(s, *map(np.concatenate, zip(*arrived)))
+                arrived, n = [], 0
+        if n:
+            self._wait(s, *map(np.concatenate, zip(*arrived)))
         yield from self._release(key[0], s, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -100,39 +112,54 @@ class MonitorProcessor(StatefulProcessor):
         names = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
         return dict(zip(names, self.state.get() if self.state.exists() else EMPTY_STATE))
 
-    def _wait(self, values: np.ndarray, ts: np.ndarray) -> None:
-        """Put arrivals to those that wait in the same span."""
-        spans = ts // SPAN
-        for span in np.unique(spans):
-            mine = spans == span
-            held_ts, held = self._span(int(span))
-            self._keep(int(span), np.concatenate([held_ts, ts[mine]]), np.concatenate([held, values[mine]]))
-
-    def _span(self, span: int) -> tuple[np.ndarray, np.ndarray]:
-        if not self.waiting.containsKey((span,)):
-            return np.zeros(0, dtype=np.int64), np.zeros((0, len(PENDING_COLUMNS)))
-        ts, values = self.waiting.getValue((span,))
-        return np.array(ts, dtype=np.int64), np.array(values, dtype=float).reshape(-1, len(PENDING_COLUMNS))
-
-    def _keep(self, span: int, ts: np.ndarray, values: np.ndarray) -> None:
-        self.waiting.updateValue((span,), (ts.tolist(), values.ravel().tolist()))
+    def _wait(self, s: dict, values: np.ndarray, ts: np.ndarray) -> None:
+        """Write readings as a run; each page begins with the first reading of a span."""
+        order = np.argsort(ts, kind="stable")
+        values, ts = values[order], ts[order]
+        starts = _span_starts(ts)
+        s["runs"], a = s["runs"] + 1, 0
+        while a < len(ts):
+            later = np.searchsorted(starts, a + PAGE_ROWS)
+            b = int(starts[later]) if later < len(starts) else len(ts)
+            self.waiting.updateValue((int(ts[a] // SPAN), s["runs"]), (ts[a:b].tobytes() + values[a:b].tobytes(),))
+            a = b
+
+    def _take(self, key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The readings of a page, which leave the state."""
+        page = bytes(self.waiting.getValue(key)[0])
+        self.waiting.removeKey(key)
+        n = len(page) // (8 + 8 * len(PENDING_COLUMNS))
+        return np.frombuffer(page, offset=8 * n).reshape(n, -1), np.frombuffer(page, np.int64, n)
 
     def _release(self, asset: str, s: dict, watermark: int) -> Iterator[pd.DataFrame]:
         """Handle what the watermark has passed, one span after the other, and wake up for the rest."""
-        next_time = None
-        for span in sorted(k[0] for k in self.waiting.keys()):
+        next_time, runs = None, defaultdict(list)
+        for span, run in self.waiting.keys():
+            runs[span].append(run)
+        first = sorted(runs)
+        values, ts = np.zeros((0, len(PENDING_COLUMNS))), np.zeros(0, dtype=np.int64)
+        for i, span in enumerate(first):
             if span * SPAN > watermark:
                 next_time = span * SPAN
                 break
-            ts, values = self._span(span)
-            ready = ts <= watermark
-            if ready.any():
-                yield from self._in_order(asset, s, values[ready], ts[ready])
-            if not ready.all():
-                self._keep(span, ts[~ready], values[~ready])
-                next_time = int(ts[~ready].min())
-                break
-            self.waiting.removeKey((span,))
+            values, ts = map(np.concatenate, zip((values, ts), *(self._take((span, run)) for run in sorted(runs[span]))))
+            order = np.argsort(ts, kind="stable")
+            values, ts = values[order], ts[order]
+            # Pages that are still to be read hold nothing before the next one's first span.
+            until = watermark if i + 1 == len(first) else min(watermark, first[i + 1] * SPAN - 1)
+            n = int(np.searchsorted(ts, until, "right"))
+            starts = _span_starts(ts[:n])
+            for a, b in zip(starts, [*starts[1:], n]):
+                yield from self._in_order(asset, s, values[a:b], ts[a:b])
+                if sum(len(x) for _, x in self.ordered) >= PIECE_ROWS:
+                    yield from self._predict_ordered(asset, s)
+            values, ts = values[n:], ts[n:]
+        yield from self._predict_ordered(asset, s)
+        if len(ts):
+            next_time = int(ts[0]) if next_time is None else min(next_time, int(ts[0]))
+            n = int(np.searchsorted(ts, (ts[0] // SPAN + 1) * SPAN))  # the span that is asked next has a page of its own
+            for rest in (slice(0, n), slice(n, None)):
+                self._wait(s, values[rest], ts[rest])
         self.state.update(tuple(s.values()))
         if next_time is not None:
             wanted = int(next_time // 1000) + 1
@@ -144,6 +171,7 @@ class MonitorProcessor(StatefulProcessor):
                 self.handle.registerTimer(wanted)
 
     def _in_order(self, asset: str, s: dict, values: np.ndarray, ts: np.ndarray) -> list[pd.DataFrame]:
+        """Put the readings of a span in order and set aside what is not to be predicted."""
         order = np.lexsort((values[:, 2], values[:, 1], values[:, 0], ts))  # NaN sorts last
         values, ts = values[order], ts[order]
         s["last_ts"] = int(ts[-1])
@@ -158,7 +186,18 @@ class MonitorProcessor(StatefulProcessor):
                 why = np.where(missing, "missing sensor", "impossible reading")
                 out.append(self._side(asset, values[~ok, :3], ts[~ok], INVALID, why))
             values, ts = values[ok], ts[ok]
-        return out + (self._predict(asset, s, values, ts) if len(ts) else [])
+        if len(ts):
+            self.ordered.append((values, ts))
+        return out
+
+    def _predict_ordered(self, asset: str, s: dict) -> Iterator[pd.DataFrame]:
+        """Predict the readings of handled spans together."""
+        if self.ordered:
+            values, ts = map(np.concatenate, zip(*self.ordered))
+            self.ordered = []
+            pieces = max(1, len(ts) // PIECE_ROWS)
+            for part in zip(np.array_split(values, pieces), np.array_split(ts, pieces)):
+                yield from self._predict(asset, s, *part)
 
     def _predict(self, asset: str, s: dict, values: np.ndarray, ts: np.ndarray) -> list[pd.DataFrame]:
         cfg, n = self.cfg, self.cfg.window_rows
@@ -233,6 +272,12 @@ class MonitorProcessor(StatefulProcessor):
         return out
 
 
+def _span_starts(ts: np.ndarray) -> np.ndarray:
+    """Places in ascending times at which another span begins."""
+    spans = ts // SPAN
+    return np.flatnonzero(np.concatenate([np.ones(min(len(ts), 1), dtype=bool), spans[1:] != spans[:-1]]))
+
+
 def monitor_stream(
     readings: DataFrame,
     model: Model,
@@ -311,7 +356,8 @@ def start(
     mode = options.get("calibration", "auto")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        # An asset's rows come from one task; what follows goes row by row and is spread over all.
+        batch = spread(batch, "asset_id", "ts").persist()
         try:
             flat = flatten_predictions(finish(batch, model, cfg, mode), cfg)
             output_log(spark, output, "predictions", run_id).write(flat.withColumn("processed_at", F.current_timestamp()), batch_id)

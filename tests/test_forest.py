@@ -165,3 +165,21 @@ def test_calibration_and_health(spark):
         pick_calibration(df, calibrate(df), local, "local").select("calibration_source").collect()
     scores = spark.createDataFrame([(-0.54,), (-0.2,), (-0.9,)], "s double").select(health_from_score(F.col("s"), F.lit(-0.44), F.lit(0.05)))
     assert [r[0] for r in scores.collect()] == pytest.approx([50.0, 100.0, 0.0])
+
+
+def test_many_rows_reach_the_leaves_that_few_rows_reach():
+    """Node by node or level by level: the same scores, bit by bit, ties with thresholds and NaN among them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, len(FEATURES))).round(2)
+    for size in (2, 256, 1000):  # the last needs leaf numbers above 255
+        columns = ["node_id", "feature", "threshold", "left", "right", "n_samples", "depth"]
+        trees = [pd.DataFrame(grow_tree(x[rng.choice(len(x), size, False)], f"7|{t}", 10 if size > 256 else 8), columns=columns) for t in range(9)]
+        nodes = pd.concat([t.assign(tree_id=i, threshold=t["threshold"].round(2)) for i, t in enumerate(trees)])
+        forest = PackedForest(nodes)
+        odd = x.copy()
+        odd[::7, 3], odd[1::7, 4] = np.nan, np.inf
+        for rows in (x, odd):
+            few = np.concatenate([forest.score(rows[a : a + 1000]) for a in range(0, len(rows), 1000)])
+            assert (forest.score(rows) == few).all()
+            leaves = zip(forest._leaves(rows[:50]), forest._leaves_by_node(rows[:50]))
+            assert all((a == b).all() for a, b in leaves)

@@ -125,3 +125,43 @@ def test_a_backlog_of_one_asset_leaves_in_bounded_pieces(monkeypatch):
     list(p.handleExpiredTimer(("a",), Watermark(n * minute_us), None))
     every = np.concatenate(handled)
     assert len(every) == n and (np.diff(every) == minute_us).all() and max(sizes) <= per_span and not p.waiting
+
+
+class Counted(Waiting):
+    """Map state that notes the bytes of what is written."""
+
+    def __init__(self):
+        super().__init__()
+        self.pages, self.bytes = 0, 0
+
+    def updateValue(self, key, value):
+        self.pages, self.bytes = self.pages + 1, self.bytes + len(value[0])
+        self[key] = value
+
+
+def shuffled_batches(n, step_us):
+    ts = np.random.default_rng(1).permutation(n) * step_us
+    for a in range(0, n, 10_000):
+        yield pd.DataFrame({"ts": pd.to_datetime(ts[a : a + 10_000], unit="us"), **{c: 1.0 for c in monitor.PENDING_COLUMNS}})
+
+
+@pytest.mark.parametrize("step_us", [2_000_000, 600_000_000])
+def test_what_waits_is_written_once(monkeypatch, step_us):
+    """Arrivals in no order: dense or sparse in time, a reading goes to state once, in few pages."""
+    p = monitor.MonitorProcessor(None, QUICK, True)
+    p.handle, p.waiting = Timers(), Counted()
+    state = dict(zip([c.split()[0] for c in monitor.STATE_SCHEMA.split(", ")], monitor.EMPTY_STATE))
+    p.state = type("State", (), {"update": lambda self, v: None})()
+    monkeypatch.setattr(p, "_load", lambda: state)
+    predicted = []
+    monkeypatch.setattr(p, "_predict", lambda asset, s, values, ts: predicted.append(ts) or [])
+    n = 600_000
+    assert list(p.handleInputRows(("a",), shuffled_batches(n, step_us), Watermark(-1))) == []
+    assert p.waiting.bytes == n * 8 * (1 + len(monitor.PENDING_COLUMNS)) and p.waiting.pages <= n // monitor.PAGE_ROWS + 3
+    half = n // 2 * step_us + 1
+    assert list(p.handleExpiredTimer(("a",), Watermark(half), None)) == []
+    assert sum(map(len, predicted)) == n // 2 + 1
+    list(p.handleExpiredTimer(("a",), Watermark(n * step_us), None))
+    every = np.concatenate(predicted)
+    assert len(every) == n and (np.diff(every) == step_us).all() and not p.waiting
+    assert max(map(len, predicted[:-1])) >= monitor.PIECE_ROWS // 2
