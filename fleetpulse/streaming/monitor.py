@@ -49,7 +49,7 @@ EMPTY_STATE = (-(1 << 62), 0, 0, 0.0, 0.0, [], [], [], [], 0, 0, 0, 0)
 #: Microseconds of a span: the waiting readings are handled in such pieces.
 SPAN = 12 * 3600 * 1_000_000
 #: Arrivals that are written as one run, readings of a page, and of one prediction; a page or a prediction may hold more.
-RUN_ROWS, PAGE_ROWS, PIECE_ROWS = 262_144, 4_096, 8_192
+RUN_ROWS, PAGE_ROWS, PIECE_ROWS = 262_144, 4_096, 16_384
 OUTPUT_SCHEMA = (
     "asset_id string, ts timestamp, status string, reason string, vibration double, current double, temperature double, "
     "tick long, score double, health_raw double, output long, level double, n_fit long, slope double, "

@@ -183,3 +183,14 @@ def test_many_rows_reach_the_leaves_that_few_rows_reach():
             assert (forest.score(rows) == few).all()
             leaves = zip(forest._leaves(rows[:50]), forest._leaves_by_node(rows[:50]))
             assert all((a == b).all() for a, b in leaves)
+
+
+def test_trees_of_a_row_are_found_in_whole_batches():
+    """For every hash, the largest among them, the trees whose rank is below the bound, as whole numbers say."""
+    hashes = tree_hashes(3, 40)
+    numbers = np.concatenate([[0, 1, PRIME - 1], np.random.default_rng(2).integers(0, PRIME, 2_000)])
+    # a rank of exactly 0 follows from h = -second / first
+    numbers = np.append(numbers, [(-b * pow(a, -1, PRIME)) % PRIME for a, b in hashes])
+    for below in (1, PRIME // 50, PRIME):
+        want = [[t for t, (a, b) in enumerate(hashes) if (int(h) * a + b) % PRIME < below] for h in numbers]
+        assert forest._trees_below(numbers, hashes, below) == want
