@@ -9,7 +9,8 @@ sorted, and where, is chosen so that every sort is bounded:
   anchor, so equal windows have equal anchors.  Consecutive windows with one
   anchor make a context of at most ``2 * length - gram`` bytes.
 * Only anchors found in two documents or more can matter.  Batches pack their
-  hashes by bucket, combined first, and each bucket is compared in one sort.
+  hashes by bucket, combined first, and each bucket is compared in one sort;
+  the packed hashes lie on disk once, in that shuffle.
 * Of documents with one text only the first is compared; the others go whole.
   Anchors are counted by the 64-bit hash of their text.
 * Contexts that are equal byte for byte are one row with their smallest id.
@@ -17,6 +18,9 @@ sorted, and where, is chosen so that every sort is bounded:
   them is dealt by its single windows instead.  Each task sorts its contexts in
   chunks cut between anchors, and finds the smallest id of every class of
   windows with a common prefix of ``length``.
+* Texts are cut into contexts in passes by their hash, contexts are compared in
+  passes by what they are dealt by.  Equal windows meet in one pass, and the
+  disk holds the shuffles of one pass at a time.
 
 Defined results: null and empty texts have no bytes; ids compare as numbers and
 a null id is smaller than every other; rows that share an id never remove from
@@ -28,11 +32,12 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetpulse.llm.common import key_runs, small_batches, table, text_key
 from fleetpulse.llm.induced_sort import suffix_order
@@ -45,6 +50,9 @@ ANCHORS = 500_000
 CHUNK_BYTES = 1 << 18
 SLICE_BYTES = 1 << 18
 TASK_CONTEXTS = 100_000
+PASS_BYTES = 1 << 25
+TEXT_PASSES = 2
+CONTEXT_PASSES = 2
 LEAST_ID = -(1 << 63)
 NULL_ID = LEAST_ID + 1
 
@@ -113,8 +121,8 @@ def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, n, packed) of the anchors of (ident, text), packed by bucket for the shuffle.
 
     An anchor that two texts of one batch have is known to be shared, so the
-    batch sends those texts as rows of their own (bucket -1) and only the hash
-    onwards.  A hash in a third of all documents thus costs one entry per batch.
+    batch sends those texts as a row of its own (in a bucket below 0) and only the
+    hash onwards.  A hash in a third of all documents thus costs one entry per batch.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +142,7 @@ def anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             opens = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
             many = np.diff(np.append(opens, len(h))) > 1
             known = np.repeat(many, np.diff(np.append(opens, len(h))))
-            out = [(-1, int(known.sum()), packed(h[known], doc[known]))] if known.any() else []
+            out = [(-1 - int(ids[0]) % buckets, int(known.sum()), packed(h[known], doc[known]))] if known.any() else []
             h, doc = h[opens], np.where(many, LEAST_ID, doc[opens])
             deal = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(deal, kind="stable")
@@ -168,14 +176,16 @@ def shared_anchors(found: DataFrame, buckets: int) -> DataFrame:
     def told(h: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(h)], names=["ident", "h"])
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n, data in zip(batch.column("n").to_pylist(), batch.column("packed").to_pylist()):
-                yield told(*unpacked(data, n))
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in key_runs(batches, "bucket"):
-            parts = [unpacked(d, n) for n, d in zip(run.column("n").to_pylist(), run.column("packed").to_pylist())]
+            parts = []
+            for bucket, n, data in zip(*(run.column(c).to_pylist() for c in ("bucket", "n", "packed"))):
+                if bucket < 0:  # known to its batch
+                    yield told(*unpacked(data, n))
+                else:
+                    parts.append(unpacked(data, n))
+            if not parts:
+                continue
             h, doc = (np.concatenate(c) for c in zip(*parts))
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
@@ -185,9 +195,7 @@ def shared_anchors(found: DataFrame, buckets: int) -> DataFrame:
             shared = np.repeat((doc[opens] != doc[opens + sizes - 1]), sizes) & (doc != LEAST_ID)
             yield told(h[shared], doc[shared])
 
-    near = found.filter("bucket < 0").mapInArrow(known, "ident long, h long")
-    far = found.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(asked, "ident long, h long")
-    return near.unionByName(far)
+    return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(rows, "ident long, h long")
 
 
 def shared_contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -243,33 +251,51 @@ def earlier_windows(contexts: pa.Table, length: int) -> np.ndarray:
 
 
 def masks(distinct: DataFrame, parts: int, length: int) -> DataFrame:
-    """(c1, c2, mask) of the contexts (deal, bytes, least, c1, c2) that hold windows of earlier documents."""
+    """(c1, c2, least, mask) of the contexts (deal, bytes, least, copied) that can remove something.
+
+    These hold windows of earlier documents, the bits of ``mask``, or are in
+    documents of several ids.  ``c1`` and ``c2`` are hashes of the bytes.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(chunk: list[pa.Table]) -> pa.RecordBatch:
+        def told(whole: pa.Table, mask: np.ndarray) -> list[pa.RecordBatch]:
+            use = np.flatnonzero((mask != 0) | whole.column("copied").to_numpy())
+            return whole.select(["c1", "c2", "least"]).append_column("mask", pa.array(mask)).take(pa.array(use)).combine_chunks().to_batches()
+
+        def compared(chunk: list[pa.Table]) -> list[pa.RecordBatch]:
             whole = pa.concat_tables(chunk)
-            mask = earlier_windows(whole, length)
-            out = whole.select(["c1", "c2"]).append_column("mask", pa.array(mask)).take(pa.array(np.flatnonzero(mask)))
-            return out.combine_chunks().to_batches() or []
+            return told(whole, earlier_windows(whole, length))
 
         chunk, size = [], 0
         for run in key_runs(batches, "deal"):
             # An anchor with one distinct context has nothing to compare.
             deal = run.column("deal").to_numpy()
             same = deal[1:] == deal[:-1]
-            run = run.filter(pa.array(np.append(same, False) | np.append(False, same)))
+            several = np.append(same, False) | np.append(False, same)
+            single = run.drop_columns("bytes").filter(pa.array(~several))
+            yield from told(single, np.zeros(single.num_rows, np.int64))
+            run = run.filter(pa.array(several))
             if not run.num_rows:
                 continue
             chunk.append(run)
             size += run.column("bytes").nbytes
             if size >= CHUNK_BYTES:
-                yield from told(chunk)
+                yield from compared(chunk)
                 chunk, size = [], 0
         if chunk:
-            yield from told(chunk)
+            yield from compared(chunk)
+
+    dealt = distinct.repartition(parts, "deal").sortWithinPartitions("deal").select("deal", "bytes", "least", "copied", *byte_names())
+    return dealt.mapInArrow(rows, "c1 long, c2 long, least long, mask long")
 
-    dealt = distinct.repartition(parts, "deal").sortWithinPartitions("deal")
-    return dealt.mapInArrow(rows, "c1 long, c2 long, mask long")
+
+def byte_names() -> list[Column]:
+    return [F.xxhash64("bytes").alias("c1"), F.xxhash64(F.lit(1), "bytes").alias("c2")]
+
+
+def classes(hashed: str, n: int) -> list[Column]:
+    """``n`` conditions on a hash, of which every row meets one."""
+    return [F.pmod(hashed, F.lit(n)) == i for i in range(n)]
 
 
 def cut_texts(docs: DataFrame, length: int) -> DataFrame:
@@ -321,15 +347,18 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-2 * size // ((length - GRAM + 2) * ANCHORS)))
     first = materialize(named.groupBy("ident").agg(F.min("doc").alias("doc")), "first-texts")
-    found = materialize(anchors(named.select("ident", "text"), length, buckets), "anchors")
+    found = anchors(named.select("ident", "text"), length, buckets)
     wanted = shared_anchors(found, buckets).groupBy("ident").agg(F.collect_set("h").alias("hs"))
     wanted = materialize(wanted.join(first, "ident"), "wanted")
-    discard(found)
     release(spark)
     # Hashes of contexts do not compress: they are taken from the bytes where they are used, and not stored beside them.
-    each = materialize(shared_contexts(named.select("ident", "doc", "key", "text"), wanted, length), "contexts")
+    texts, contexts = named.select("ident", "doc", "key", "text"), []
+    passes = -(-size // PASS_BYTES) or 1
+    for of_pass in classes("ident", min(passes, TEXT_PASSES)):
+        contexts.append(materialize(shared_contexts(texts.filter(of_pass), wanted.filter(of_pass), length), "contexts"))
+        release(spark)
     discard(wanted)
-    release(spark)
+    each = reduce(DataFrame.unionByName, contexts)
     hot = each.groupBy("h").agg(F.approx_count_distinct(F.xxhash64("bytes")).alias("n")).filter(F.col("n") > HOT)
     hot = materialize(hot.select("h"), "hot-anchors")
     cold = each.join(hot, "h", "left_anti").withColumn("deal", F.col("h"))
@@ -342,26 +371,33 @@ def remove_earlier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     columns = ["doc", "key", "start", "windows", "bytes", "deal"]
     every = cold.select(*columns).unionByName(single.select(*columns))
-    named_by = [F.xxhash64("bytes").alias("c1"), F.xxhash64(F.lit(1), "bytes").alias("c2")]
-    distinct = every.groupBy("deal", "bytes").agg(F.min("doc").alias("least"))
-    distinct = materialize(distinct.select("deal", "bytes", *named_by, "least"), "distinct-contexts")
-    release(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // TASK_CONTEXTS))
-    masked = masks(distinct, parts, length)
-    # Written, so that the next join is a plain one, which adaptive execution can split at a context that many have.
-    per_context = materialize(distinct.select("c1", "c2", "least").join(masked, ["c1", "c2"], "left"), "masks")
-    placed = every.select("doc", "key", "start", "windows", *named_by).join(per_context, ["c1", "c2"])
     all_bits = F.expr("shiftleft(1L, cast(windows AS int)) - 1")
     mask = F.when(F.col("doc") > F.col("least"), all_bits).otherwise(F.col("mask"))
-    marks = placed.select("key", "start", mask.alias("mask")).filter("mask is not null").groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
+    parts, marks = int(spark.conf.get("spark.sql.shuffle.partitions")), []
+    for of_pass in classes("deal", min(passes, CONTEXT_PASSES)):
+        dealt = every.filter(of_pass)
+        distinct = dealt.groupBy("deal", "bytes").agg(F.min("doc").alias("least"), (F.min("doc") < F.max("doc")).alias("copied"))
+        distinct = materialize(distinct, "distinct-contexts")
+        release(spark)
+        # Written, so that the next join is a plain one, which adaptive execution can split at a context that many have.
+        per_context = materialize(masks(distinct, max(parts, -(-distinct.count() // TASK_CONTEXTS)), length), "masks")
+        discard(distinct)
+        release(spark)
+        placed = dealt.select("doc", "key", "start", "windows", *byte_names()).join(per_context, ["c1", "c2"])
+        marks.append(materialize(placed.select("key", "start", mask.alias("mask")).filter("mask <> 0"), "marks-of-pass"))
+        discard(per_context)
+        release(spark)
+    for written in contexts:
+        discard(written)
+    found = reduce(DataFrame.unionByName, marks).groupBy("key").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
     copies = named.select("ident", "key", F.col("doc").alias("own")).join(first, "ident").filter(F.col("own") > F.col("doc"))
     # A copy goes whole: its mark is a start of -1.
     whole = F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(0).cast("long").alias("mask")))
-    marks = materialize(marks.unionByName(copies.select("key", whole.alias("found")).distinct()), "marks")
-    for written in (each, distinct, per_context):
+    found = materialize(found.unionByName(copies.select("key", whole.alias("found")).distinct()), "marks")
+    for written in marks:
         discard(written)
     release(spark)
-    return cut_texts(named.join(marks, "key", "left"), length)
+    return cut_texts(named.join(found, "key", "left"), length)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -189,3 +189,42 @@ def test_substring_contexts_are_stored_without_hashes(spark, monkeypatch):
     removed = {r.doc_id: r.n_removed for r in substring_dedup.remove_earlier(docs).collect()}
     assert removed[0] == 0 and all(removed[i] >= len(passage) for i in range(1, 20))
     assert written["contexts"].columns == ["doc", "key", "h", "start", "windows", "bytes"] and gone == [True]
+
+
+@pytest.mark.parametrize("hot", [4_000, 2])
+def test_substring_passes_give_the_whole_result_and_free_their_tables(spark, monkeypatch, hot):
+    """Packed anchors are not written beside their shuffle; a pass is gone from disk before the next one compares."""
+    from pathlib import Path
+
+    rng = np.random.default_rng(7)
+    passages = [" ".join(f"w{n}" for n in rng.integers(0, 10_000, 14)) for _ in range(12)]
+    texts = [f"{i} first {passages[i % 12]} then {passages[i * 5 % 12]} last {i * i}" for i in range(60)] + ["", "short", passages[0], passages[0]]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    least = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 49):
+            least.setdefault(t[j : j + 50], i)
+    want = {}
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for j in range(len(t) - 49):
+            if least[t[j : j + 50]] < i:
+                gone[j : j + 50] = True
+        want[i] = (int(gone.sum()), "".join(c for c, g in zip(t, gone) if not g).encode())
+    want[len(texts)] = (0, b"")
+    labels, left = [], []
+
+    def told(df, label):
+        if label == "distinct-contexts":
+            left.append(sum(Path(w.scratch_path).exists() for n, w in labels if n in ("distinct-contexts", "masks")))
+        labels.append((label, real(df, label)))
+        return labels[-1][1]
+
+    real = substring_dedup.materialize
+    monkeypatch.setattr(substring_dedup, "materialize", told)
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "PASS_BYTES", 1)
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in substring_dedup.remove_earlier(docs).collect()}
+    assert got == want
+    names = [n for n, _ in labels]
+    assert "anchors" not in names and left == [0] * substring_dedup.CONTEXT_PASSES and names.count("contexts") == substring_dedup.TEXT_PASSES
